@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, license_scan, substring_dedup, url_filter
+from . import bpe, decontaminate, exact_dedup, language_id, license_scan, substring_dedup, toxicity, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -23,6 +24,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(read(spark, sf_dir, "documents")).drop("keep_locator")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"), 3, 1)
+    found = language_id.identify(docs, language_id.fit(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
 
@@ -35,6 +43,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeated(read(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"), 5, 0)
+    found = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), ~out))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
@@ -44,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_license_scan, op5_bpe, op6_substring_dedup, op9_url_filter, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_license_scan, op5_bpe, op6_substring_dedup, op8_toxicity, op9_url_filter, op10_decontaminate)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
