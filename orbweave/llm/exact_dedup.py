@@ -40,6 +40,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space ahead of need
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
@@ -146,7 +147,7 @@ def _regroup(docs: DataFrame, hits: DataFrame, unlike: DataFrame, text_col: str,
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns; rows without an id stay."""
     gone = materialize(deduplicate(docs, text_col, id_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
     few = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
