@@ -72,7 +72,7 @@ class Block:
         shingle, offset, owner, length = [], [], [], []
         data = np.frombuffer(b" ".join(self.words), dtype=np.uint8)
         ends = np.cumsum([len(w) + 1 for w in self.words])
-        words = find_words(data, np.concatenate([[0], ends[:-1], [len(data)]]), PUNCT, lower=False)
+        words = find_words(data, np.array([0, *ends[:-1], len(data)], dtype=np.int64), PUNCT, lower=False)
         rolling = Rolling(words.prefix_hash())
         self.hash = rolling.at(words.first[:-1], self.size)
         for i, size in enumerate(self.size.tolist()):
