@@ -171,3 +171,23 @@ def test_streams(spark, tmp_path):
     query = radius_stream(stream, parts, 3_000_000.0).writeStream.format("memory").queryName("near").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("near").where(F.col("distance") > 3_000_000).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from orbweave import cli
+
+    index = put(tmp_path, "a.geojson", json.dumps(GEOJSON))
+    asked = put(tmp_path, "q.csv", "name;lng;lat\nx;1;2\ny;bad;2\n")
+    cli.main(["proximity", index, asked, "-s", "--point", "--fields", "s", "--delimiter", ";", "--id-col", "name", "--id-label", "who"], spark)
+    said = capsys.readouterr()
+    assert said.out.splitlines() == ["input_index;who;lng;lat;distance;find_index;s", "0;x;1;2;0.000;0;x"]
+    assert "lng is no number" in said.err
+    cli.main(["meta", "count", index], spark)
+    cli.main(["meta", "fields", index, "--types", "--length", "1"], spark)
+    cli.main(["meta", "data", index, "--length", "1", "--headers", "--index"], spark)
+    assert capsys.readouterr().out.splitlines() == ["5", "id [String]", "b [Bool]", "n [Number]", "o [Object]", "s [String]", "z [Null]", "index,id,b,n,o,s,z", '0,a,true,0.0,"{""t"":1}",x,null']
+    run = put(tmp_path, "r.json", '[{"shape":"point","count":3,"meta":0,"cmp":2}]')
+    dirs = ["--config-dir", str(tmp_path / "c"), "--build-dir", str(tmp_path / "b")]
+    for args in (["load", run], ["list"], ["execute", "r"], ["remove", "r"], ["clean"]):
+        cli.main(["bench", *args, *dirs], spark)
+    assert "r,0,point,3,0,2" in capsys.readouterr().out
