@@ -11,10 +11,12 @@ document the smallest id that it reaches over links.
 3. Linked sets share at least ceil(percent * n / 100) shingles, so their first
    n - that + l shingles in the common order share l or more.  These prefixes
    make the inverted lists; lists of one set are dropped.  The extension l grows
-   with the set, so that the required number of occurrences T exceeds one.
-4. A list longer than ``HOT`` first links its sets to two pivots, which costs a
-   row per set; exactly verified links join them into components.  A large group
-   of near copies collapses here instead of giving all its pairs.
+   with the set, so that the required number of occurrences T exceeds one; T
+   follows from both sizes (``occurrences``).
+4. A list with more than ``HOT`` components first links its sets to a few
+   pivots, which costs some rows per set; exactly verified links join them into
+   components.  A large group of near copies collapses here in a few rounds
+   instead of giving all its pairs.
 5. The T-occurrence search runs on the lists that still hold several
    components, and only between different components: for each query the short
    lists are merged with a heap, the longest are probed by binary search, and
@@ -48,12 +50,15 @@ from .text import SPACE, Rolling, find_words, mix, signed, text_slices, window_s
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH_BITS = 20
-SLOT_BITS = 14
+SKETCH_BITS = 22
+SLOT_BITS = 16
 EXTEND = 40
 HOT = 64
+#: Pivots of a hot list in each round of collapsing.
+PIVOTS = (4, 16, 16)
+HEAP_ENTRIES = 48
 BLOCK = 4096
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000  # of one or two numbers each
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -88,22 +93,22 @@ def frequency_sketch(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 table += np.bincount(_bucket(_distinct(*shingle_sets(data, offsets, k))[1]), minlength=len(table))
         slots = [i for i in range(len(table) // width) if table[i * width : (i + 1) * width].any()]
-        packed = [zlib.compress(table[i * width : (i + 1) * width].astype("<i8").tobytes(), 1) for i in slots]
+        packed = [zlib.compress(table[i * width : (i + 1) * width].astype("<u4").tobytes(), 1) for i in slots]
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(packed, pa.binary())], names=["slot", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for slot, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(packed.as_py()), dtype="<i8")
+                part = np.frombuffer(zlib.decompress(packed.as_py()), dtype="<u4").astype(np.int64)
                 total[slot] = total[slot] + part if slot in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(t.tobytes(), 1) for t in total.values()], pa.binary())], names=["slot", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(t, 0x7FFFFFFF).astype("<u4").tobytes(), 1) for t in total.values()], pa.binary())], names=["slot", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "slot int, counts binary").repartition((1 << SKETCH_BITS) // width, "slot").mapInArrow(add, "slot int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     for row in parts.collect():  # fixed size: one row a slot
-        out[row["slot"] * width : (row["slot"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), dtype="<i8")
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+        out[row["slot"] * width : (row["slot"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), dtype="<u4")
+    return out
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -115,6 +120,17 @@ def extension(n):
     return 1 + n // EXTEND
 
 
+def occurrences(n, m, percent: int = PERCENT):
+    """How many prefix shingles linked sets of n and m shingles share at least.
+
+    They share a = ceil(percent * (n + m) / (100 + percent)) shingles; those
+    after the prefix that ends first are at most the rest of that set.
+    """
+    rest = lambda x: x - np.minimum(prefix_length(x, percent), x)
+    shared = -(-percent * (n + m) // (100 + percent))
+    return np.maximum(shared - np.maximum(rest(n), rest(m)), 1)
+
+
 def sketches(docs: DataFrame, frequency: np.ndarray, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """Per document: set size, two halves of the set's digest, its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
@@ -147,8 +163,16 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that link, by their whole sets."""
+def _few(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast if few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (u, v) that link, by their whole sets; only sets that some pair
+    needs are made and moved."""
+    ids = materialize(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "members")
+    sets = materialize(_sets(docs.join(_few(ids), "doc_id", "left_semi"), k), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,42 +188,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def divide_skip(lists: list[np.ndarray], need: int, long_lists: int | None = None) -> np.ndarray:
-    """Members of at least ``need`` of the sorted lists.
-
-    The ``long_lists`` longest (at most need - 1) are only probed; the others
-    are merged with a heap, and a member is probed for if it can still reach
-    ``need``.
+def _heap_merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct members of sorted lists and how many lists hold each."""
+    heap = [(int(x[0]), i, 0) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    members: list[int] = []
+    counts: list[int] = []
+    while heap:
+        value, i, at = heap[0]
+        if members and members[-1] == value:
+            counts[-1] += 1
+        else:
+            members.append(value)
+            counts.append(1)
+        if at + 1 < len(lists[i]):
+            heapq.heapreplace(heap, (int(lists[i][at + 1]), i, at + 1))
+        else:
+            heapq.heappop(heap)
+    return np.array(members, dtype=np.int64), np.array(counts, dtype=np.int64)
+
+
+def _merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As the heap does; many entries are merged by one vectorised sort."""
+    if sum(map(len, lists)) <= HEAP_ENTRIES:
+        return _heap_merge(lists)
+    return np.unique(np.concatenate(lists), return_counts=True)
+
+
+def divide_skip(lists: list[np.ndarray], need: int, needs=None, long_lists: int | None = None) -> np.ndarray:
+    """Members of at least ``need`` of the sorted lists (of ``needs(members)``
+    if given, which is never less).
+
+    The ``long_lists`` longest (at most need - 1) are only probed by binary
+    search; the others are merged, and a member is probed for while it can still
+    reach its number.
     """
     lists = sorted((x for x in lists if len(x)), key=len)
-    if len(lists) < need:
+    if len(lists) < need or need < 1:
         return np.zeros(0, np.int64)
-    longest = len(lists[-1]) if lists else 0
-    many = int(need / (0.01 * np.log2(longest + 2) + 1)) if long_lists is None else long_lists
-    many = max(0, min(many, need - 1, len(lists)))
-    short, probe = (lists[: len(lists) - many], lists[len(lists) - many :]) if many else (lists, [])
-    found = []
-    heap = [(int(x[0]), i, 0) for i, x in enumerate(short)]
-    heapq.heapify(heap)
-    while heap:
-        value, count = heap[0][0], 0
-        while heap and heap[0][0] == value:
-            _, i, at = heap[0]
-            count += 1
-            if at + 1 < len(short[i]):
-                heapq.heapreplace(heap, (int(short[i][at + 1]), i, at + 1))
-            else:
-                heapq.heappop(heap)
-        if count + many < need:
-            continue
-        for left, x in enumerate(probe):
-            if count >= need or count + many - left < need:
-                break
-            at = int(np.searchsorted(x, value))
-            count += at < len(x) and x[at] == value
-        if count >= need:
-            found.append(value)
-    return np.array(found, dtype=np.int64)
+    many = int(need / (0.01 * np.log2(len(lists[-1]) + 2) + 1)) if long_lists is None else long_lists
+    many = max(0, min(many, need - 1))
+    members, counts = _merge(lists[: len(lists) - many])
+    wanted = np.full(len(members), need) if needs is None else needs(members)
+    for left in range(many, 0, -1):
+        able = counts + left >= wanted
+        members, counts, wanted = members[able], counts[able], wanted[able]
+        x = lists[-left]
+        at = np.minimum(np.searchsorted(x, members), len(x) - 1)
+        counts = counts + (x[at] == members)
+    return members[counts >= wanted]
 
 
 def _search(asked: DataFrame, percent: int) -> DataFrame:
@@ -208,23 +245,54 @@ def _search(asked: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            for u, n, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = [x["ids"].values.to_numpy(zero_copy_only=False) for x in lists.values]
-                sizes = [x["sizes"].values.to_numpy(zero_copy_only=False) for x in lists.values]
-                all_ids, first = np.unique(np.concatenate(ids), return_index=True)
-                all_sizes = np.concatenate(sizes)[first]
-                fits = (100 * np.minimum(all_sizes, n) >= percent * np.maximum(all_sizes, n)) if len(all_ids) else np.zeros(0, bool)
-                need = np.minimum(extension(n), extension(all_sizes))
-                for t in np.unique(need[fits]).tolist():  # lists by the number of occurrences their sets must reach
-                    mine = all_ids[fits & (need == t)]
-                    got = divide_skip([np.sort(x[np.isin(x, mine)]) for x in ids], t)
-                    us += [u] * len(got)
-                    vs += got.tolist()
+            outer = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+            lists = batch.column(2).flatten()
+            inner = np.concatenate([[0], np.cumsum(lists.field("ids").value_lengths().to_numpy())])
+            ids, sizes = (lists.field(c).flatten().to_numpy() for c in ("ids", "sizes"))
+            for r, (u, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                cuts = inner[outer[r] : outer[r + 1] + 1]
+                mine, size = ids[cuts[0] : cuts[-1]], sizes[cuts[0] : cuts[-1]]
+                fits = 100 * np.minimum(size, n) >= percent * np.maximum(size, n)
+                ends = np.concatenate([[0], np.cumsum(fits)])[cuts - cuts[0]]
+                mine, size = mine[fits], size[fits]
+                if not len(mine):
+                    continue
+                order = np.argsort(mine, kind="stable")
+                sorted_ids, sorted_sizes = mine[order], size[order]
+                needs = lambda m: occurrences(n, sorted_sizes[np.searchsorted(sorted_ids, m)], percent)  # noqa: B023, E731
+                got = divide_skip([mine[a:b] for a, b in zip(ends, ends[1:])], int(occurrences(n, size, percent).min()), needs)
+                us += [u] * len(got)
+                vs += got.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return asked.mapInArrow(run, "u long, v long")
 
 
+def _placed(active: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The lists' entries with their components so far and the components' sizes."""
+    if known is None:
+        return active.select("token", "id", "n", F.col("id").alias("component"), F.lit(1).cast("long").alias("members"))
+    grown = known.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    known = materialize(known.join(grown, "component").select(F.col("node").alias("id"), "component", "members"), "collapsed")
+    return active.select("token", "id", "n").join(known, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
+
+
+def _rays(placed: DataFrame, pivots: int, number: int, percent: int) -> DataFrame:
+    """Pairs of pivots and entries of lists that hold over ``HOT`` components.
+
+    A list gets a pivot for each hash slot, and each set asks the pivots of one
+    of its hot lists, another one each round.
+    """
+    hot = placed.groupBy("token").agg(F.count_distinct("component").alias("k")).where(F.col("k") > HOT)
+    rows = placed.join(hot, "token")
+    slot, order = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(pivots)), F.xxhash64("id", F.lit(number + 100))
+    chosen = rows.groupBy("token", slot.alias("slot")).agg(F.min(F.struct(order.alias("h"), "id", "n", "component")).alias("p")).select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"), F.col("p.component").alias("other"))
+    best = F.max(F.struct("k" if number == 0 else F.xxhash64("token", F.lit(number)).alias("h"), "token"))
+    asks = rows.groupBy("id", "n", "component").agg(best.alias("b")).select("id", "n", "component", F.col("b.token").alias("token"))
+    met = asks.join(chosen, "token").where(f"component <> other and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    return materialize(met.select(F.greatest("id", "pivot").alias("u"), F.least("id", "pivot").alias("v")).distinct(), "stars")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per document: n_shingles and component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -232,25 +300,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, t
     digest = ["a", "b", "n"]
     classes = materialize(sketch.where("n > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")), "classes")
     posts = classes.select("id", "n", F.explode("prefix").alias("token"))
-    ends = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("lo"), F.max(F.struct("n", "id")).alias("hi")
-    lists = materialize(posts.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *ends).where("size > 1"), "lists")
-    active = materialize(posts.join(F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists, "token"), "active")
-    members = materialize(active.select("id").distinct(), "members")
-    wanted = docs.join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, docs["doc_id"] == members["id"], "left_semi")
-    sets = materialize(_sets(wanted, k).groupBy("id").agg(F.first("set").alias("set")), "sets")
-
-    long = active.where(F.col("size") > HOT)
-    rays = long.select("id", "n", F.col("lo.id").alias("pivot"), F.col("lo.n").alias("m")).unionByName(long.select("id", "n", F.col("hi.id").alias("pivot"), F.col("hi.n").alias("m")))
-    fits = "id <> pivot and 100 * least(n, m) >= {0} * greatest(n, m)".format(percent)
-    stars = rays.where(fits).select(F.greatest("id", "pivot").alias("u"), F.least("id", "pivot").alias("v")).distinct()
-    linked = materialize(_verified(stars, sets, percent), "star-links")
-    known = components(linked)
-    grown = known.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    known = materialize(known.join(grown, "component"), "collapsed")
-
-    placed = active.select("token", "id", "n").join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "token", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members")
-    )
+    lists = materialize(posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
+    active = materialize(posts.join(_few(lists), "token"), "active")
+
+    linked = docs.sparkSession.createDataFrame([], "u long, v long")
+    placed = _placed(active, None)
+    for number, pivots in enumerate(PIVOTS):
+        rays = _rays(placed, pivots, number, percent)
+        if rays.isEmpty():
+            break
+        linked = materialize(linked.unionByName(_verified(rays, docs, percent, k)), "star-links")
+        placed = _placed(active, components(linked))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("token", "size")
     left = materialize(placed.join(mixed, "token"), "mixed")
     blocks = max(1, -(-(left.agg(F.max("size")).first()[0] or 0) // BLOCK))
@@ -259,8 +319,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, t
     asks = (F.col("members") < F.col("others")) | ((F.col("members") == F.col("others")) & (F.col("component") < F.col("other")))
     met = left.join(indexed, "token").where(asks).select("id", "n", "block", F.struct(F.col("entries.id").alias("ids"), F.col("entries.n").alias("sizes")).alias("list"))
     asked = met.groupBy("id", "n", "block").agg(F.collect_list("list").alias("lists")).select("id", "n", "lists")
-    candidates = _search(asked, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = linked.unionByName(_verified(candidates, sets, percent))
+    candidates = materialize(_search(asked, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+    links = linked.unionByName(_verified(candidates, docs, percent, k))
 
     reached = components(links).select(F.col("node").alias("id"), F.col("component"))
     named = classes.select(*digest, "id").join(reached, "id", "left").select(*digest, F.coalesce("component", "id").alias("component"))
@@ -272,4 +332,4 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataF
     """The documents whose id is the smallest of their component."""
     found = near_duplicates(docs, percent, k)
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    return docs.join(_few(gone), "doc_id", "left_anti")
