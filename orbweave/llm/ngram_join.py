@@ -50,15 +50,15 @@ from .text import SPACE, Rolling, find_words, mix, signed, text_slices, window_s
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH_BITS = 22
-SLOT_BITS = 16
+SKETCH_BITS = 21
+SLOT_BITS = 15
 EXTEND = 40
 HOT = 64
 #: Pivots of a hot list in each round of collapsing.
 PIVOTS = (4, 16, 16)
 HEAP_ENTRIES = 48
 BLOCK = 4096
-BROADCAST_ROWS = 1_000_000  # of one or two numbers each
+BROADCAST_ROWS = 500_000  # of one or two numbers each
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +88,11 @@ def frequency_sketch(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     width = 1 << SLOT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        table = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                table += np.bincount(_bucket(_distinct(*shingle_sets(data, offsets, k))[1]), minlength=len(table))
+                at, n = np.unique(_bucket(_distinct(*shingle_sets(data, offsets, k))[1]), return_counts=True)
+                table[at] += n.astype(np.uint32)
         slots = [i for i in range(len(table) // width) if table[i * width : (i + 1) * width].any()]
         packed = [zlib.compress(table[i * width : (i + 1) * width].astype("<u4").tobytes(), 1) for i in slots]
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(packed, pa.binary())], names=["slot", "counts"])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BYTE_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 _WORD_BASE = 0xD1342543DE82EF95
 
