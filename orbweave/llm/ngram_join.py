@@ -15,7 +15,7 @@ document the smallest id that it reaches over links.
    follows from both sizes (``occurrences``).
 4. A list with more than ``HOT`` components first links its sets to a few
    pivots, which costs some rows per set; exactly verified links join them into
-   components.  A large group of near copies collapses here in a few rounds
+   components.  A large group of near copies collapses here
    instead of giving all its pairs.
 5. The T-occurrence search runs on the lists that still hold several
    components, and only between different components: for each query the short
@@ -55,7 +55,7 @@ SLOT_BITS = 15
 EXTEND = 40
 HOT = 64
 #: Pivots of a hot list in each round of collapsing.
-PIVOTS = (4, 16, 16)
+PIVOTS = (32,)
 HEAP_ENTRIES = 48
 BLOCK = 4096
 BROADCAST_ROWS = 500_000  # of one or two numbers each
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, t
     classes = materialize(sketch.where("n > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")), "classes")
     posts = classes.select("id", "n", F.explode("prefix").alias("token"))
     lists = materialize(posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "lists")
-    active = materialize(posts.join(_few(lists), "token"), "active")
+    active = materialize(posts.join(lists, "token"), "active")
 
     linked = docs.sparkSession.createDataFrame([], "u long, v long")
     placed = _placed(active, None)
