@@ -21,7 +21,8 @@ anchor 25).
 Aggregations combine before the shuffle and joins are plain equi-joins that
 adaptive execution can split, so a passage held by a third of all documents
 does not load one task; the positions gathered by document are bounded by its
-length.  The text is shuffled once, by id, and the exchange is reused.
+length.  Texts are shuffled twice, by id: to roll the windows of documents with
+shared anchors, and to cut.
 
 Hashes have 64 mixed bits; documents are never compared on them across
 different lengths.  Defined cases: null or shorter texts lose nothing; rows of
@@ -44,7 +45,6 @@ from .scratch import materialize
 from .text import SPACE, Rolling, find_words, signed, take, text_slices, window_starts
 
 WINDOW = 50
-ANCHOR = 25
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
