@@ -13,8 +13,8 @@ lexicon and trees of one score the other, so that neither the trees nor the
 calibration see words that were chosen on the same texts.  Scoring reads every
 whole text in slices of bounded size and shuffles nothing.
 
-Defined cases: null counts as empty; empty texts get the score of their
-features like any other; null labels are not learned from, contradictory ones
+Defined cases: null counts as empty; texts without words get the toxic share of
+the labels, as nothing speaks for or against; null labels are not learned from, contradictory ones
 count as toxic; without both classes in training every score is the toxic share
 (0 without labels); repeated rows give a row each; extra columns are ignored.
 """
@@ -36,6 +36,7 @@ LEXICON = 20_000
 STEMS = (4, 5, 6, 7)
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 NEAR = 5
+N_WORDS = 13  # the place of the length among the features
 #: Common insults and second-person words.
 INSULTS = "idiot moron stupid dumb loser scum trash garbage worthless pathetic disgusting filthy clown fool creep ugly vermin imbecile jerk freak".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted tú ti vosotros".split()
@@ -187,11 +188,11 @@ class Trees:
         return out
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots and their non-decreasing values."""
     keys, inverse = np.unique(score, return_inverse=True)
-    weight = np.bincount(inverse).astype(float)
-    value = np.bincount(inverse, weights=y) / weight
+    weight = np.bincount(inverse, weights=weights)
+    value = np.bincount(inverse, weights=y * weights) / weight
     blocks: list[list[float]] = []
     for k, v, w in zip(keys, value, weight):
         blocks.append([v, w, k, k])
@@ -215,16 +216,21 @@ class Model:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(offsets) - 1, self.share)
-        raw = self.trees.score(dense_features(data, offsets, self.lexicon, self.seeds, self.second))
-        return np.clip(np.interp(raw, self.knots, self.values), 0, 1)
+        x = dense_features(data, offsets, self.lexicon, self.seeds, self.second)
+        score = np.clip(np.interp(self.trees.score(x), self.knots, self.values), 0, 1)
+        return np.where(x[:, N_WORDS] > 0, score, self.share)
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, train: Column, sample: int) -> DataFrame:
+def _known(labels: DataFrame, train: Column) -> DataFrame:
     known = labels.where(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
+
+
+def _training_rows(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("toxic <> 1").orderBy(*order).limit(sample))
+    chosen = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample))
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") == 1).cast("int").alias("toxic"), half.alias("half"))  # 2 x sample ids
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", half.alias("half"))  # 2 x sample ids
 
 
 def _key_counts(rows: DataFrame) -> list:
@@ -260,7 +266,9 @@ def _pick(counts: np.ndarray, columns: tuple[tuple[int, ...], tuple[int, ...]],
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     """Learn from labelled documents where ``train`` (of ``labels``) holds."""
-    rows = _training_rows(docs, labels, train, sample)
+    known = _known(labels, train)
+    rows = _training_rows(docs, known, sample)
+    there = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = _key_counts(rows)
     seeds, second = KeySet(hash_words(INSULTS)), KeySet(hash_words(SECOND_PERSON))
     keys = np.array([r["key"] for r in found], dtype=np.int64).view(np.uint64)
@@ -282,8 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
 
     table = rows.mapInArrow(features, "toxic int, half int, x array<double>").collect()  # 2 x sample rows
     y = np.array([float(r["toxic"] == 1) for r in table])
-    total = n(0, 0, 1) + n(1, 0, 1)
-    share = n(1, 0, 1) / total if total else 0.0
+    total = there.get(0, 0) + there.get(1, 0)
+    share = there.get(1, 0) / total if total else 0.0
     nothing = Model(lexica[2], seeds, second, None, np.zeros(1), np.zeros(1), share)
     if not 0 < y.sum() < len(y):
         return nothing
@@ -297,7 +305,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
             raw[:] = Trees(x, y).score(x)
             break
         raw[half == h] = Trees(x[fit_on], y[fit_on]).score(x[half == h])
-    knots, values = isotonic(raw, y)
+    # the sample holds both classes evenly; calibrated are the shares of all labels
+    weights = np.where(y == 1, there.get(1, 0) / y.sum(), there.get(0, 0) / (1 - y).sum())
+    knots, values = isotonic(raw, y, weights)
     return Model(lexica[2], seeds, second, Trees(x, y), knots, values, share)
 
 

@@ -270,5 +270,5 @@ def test_toxicity_held_out(table, spark):
 
 def test_isotonic_is_monotone():
     r = np.random.default_rng(0)
-    knots, values = toxicity.isotonic(r.normal(size=300), (r.random(300) > 0.5).astype(float))
+    knots, values = toxicity.isotonic(r.normal(size=300), (r.random(300) > 0.5).astype(float), np.ones(300))
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
