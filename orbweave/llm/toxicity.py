@@ -257,11 +257,11 @@ def _key_counts(rows: DataFrame) -> list:
 
 
 def _pick(counts: np.ndarray, columns: tuple[tuple[int, ...], tuple[int, ...]], n_other: int, n_toxic: int) -> np.ndarray:
-    """Keys more frequent in toxic texts, by two standard errors of the log odds."""
+    """Keys more frequent in toxic texts, by 2.5 standard errors of the log odds."""
     other, toxic = (counts[:, list(c)].sum(axis=1).astype(float) for c in columns)
     odds = ((toxic + 0.5) / (n_toxic + 1)) / ((other + 0.5) / (n_other + 1))
     error = np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
-    return (toxic >= 3) & (np.log(odds) - 2.0 * error > 0)
+    return (toxic >= 3) & (np.log(odds) - 2.5 * error > 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
