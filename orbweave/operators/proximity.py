@@ -65,13 +65,13 @@ def all_pairs(points: DataFrame, parts: DataFrame, points_only: bool, radius: fl
     return points.select("input_index", "lng", "lat").join(side).select("input_index", "find_index", "part_no", d.alias("d"))
 
 
-def grid_pairs(points: DataFrame, parts: DataFrame, k: int | None, r: float | None, points_only: bool, radius: float) -> DataFrame:
-    """Distances of all pairs that can matter, by the grid."""
+def grid_pairs(points: DataFrame, parts: DataFrame, k: int | None, r: float | None, points_only: bool, radius: float, features: bool = False) -> DataFrame:
+    """Distances of all pairs that can matter, by the grid; with ``features`` for the k nearest features."""
     queries = points.select("input_index", "lng", "lat")
     if k is None:
         reach = queries.withColumn("reach", F.lit(float(r)))
     else:
-        reach = queries.join(grid.upper_bounds(queries, parts, k, radius), "input_index")
+        reach = queries.join(grid.upper_bounds(queries, parts, k, radius, features), "input_index")
         # a millimetre more, as ranks go by rounded distances
         reach = reach.withColumn("reach", F.col("reach") + 0.001)
         if r is not None:
@@ -84,7 +84,7 @@ def grid_pairs(points: DataFrame, parts: DataFrame, k: int | None, r: float | No
     return met.select("input_index", "find_index", "part_no", d.alias("d"))
 
 
-def distances(points: DataFrame, parts: DataFrame, k: int | None, r: float | None, points_only: bool | None, strategy: str, radius: float) -> DataFrame:
+def distances(points: DataFrame, parts: DataFrame, k: int | None, r: float | None, points_only: bool | None, strategy: str, radius: float, features: bool = False) -> DataFrame:
     if k is None and r is None:
         raise ValueError("k or a radius is needed")
     if points_only is None:
@@ -95,7 +95,7 @@ def distances(points: DataFrame, parts: DataFrame, k: int | None, r: float | Non
     if strategy == "pairs":
         out = all_pairs(points, parts, points_only, radius)
     elif strategy == "grid":
-        out = grid_pairs(points, parts, k, r, points_only, radius)
+        out = grid_pairs(points, parts, k, r, points_only, radius, features)
     else:
         raise ValueError(f"strategy is auto, pairs or grid, not {strategy!r}")
     return out.where(F.col("d") <= r) if r is not None else out
@@ -128,7 +128,7 @@ def near_join(
     if k == 0:
         pairs = probe.matches.select("input_index").join(build.matches.select("find_index", "part_no").where("false")).select("input_index", "find_index", "part_no", F.lit(0.0).alias("d"))
     else:
-        pairs = distances(probe.matches, build.matches, k, r, points_only or (True if mode == "point" else None), strategy, radius)
+        pairs = distances(probe.matches, build.matches, k, r, points_only or (True if mode == "point" else None), strategy, radius, dedupe_features)
     top = rank(pairs, k, dedupe_features)
     found = top.join(probe.matches.select("input_index", "id", "lng_raw", "lat_raw"), "input_index")
     if fields:

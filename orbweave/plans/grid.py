@@ -34,10 +34,11 @@ def _cell(xyz: list[Column], level: Column | int) -> Column:
     return F.struct(*(at(x).alias(n) for x, n in zip(xyz, "ijk")))
 
 
-def upper_bounds(queries: DataFrame, parts: DataFrame, k: int, radius: float = EARTH_RADIUS) -> DataFrame:
-    """(input_index, reach): within ``reach`` metres there are k parts.
+def upper_bounds(queries: DataFrame, parts: DataFrame, k: int, radius: float = EARTH_RADIUS, features: bool = False) -> DataFrame:
+    """(input_index, reach): within ``reach`` metres there are k parts, or with
+    ``features`` parts of k features.
 
-    Queries of an index with fewer than k parts get half the circumference.
+    Queries of an index with fewer than k of them get half the circumference.
     Only one vertex of each part is used; a part is at most as far as its vertex.
     """
     vertex = F.get(F.get("rings", F.lit(0)), F.lit(0))
@@ -45,7 +46,8 @@ def upper_bounds(queries: DataFrame, parts: DataFrame, k: int, radius: float = E
     levels = F.explode(F.sequence(F.lit(ALL), F.lit(LEVELS))).alias("level")
     in_cells = heads.select("find_index", "part_no", "vlng", "vlat", levels).withColumn("cell", _cell(unit_vector(F.col("vlng"), F.col("vlat")), F.col("level")))
     # One part for each of 4 k hash slots: few rows a cell, pre-aggregated, however full it is.
-    slot = F.pmod(F.xxhash64("find_index", "part_no"), F.lit(4 * k))
+    # A feature's parts share a slot when features count, so the slots' parts are of different features.
+    slot = F.pmod(F.xxhash64("find_index", *([] if features else ["part_no"])), F.lit(4 * k))
     few = in_cells.groupBy("level", "cell", slot.alias("slot")).agg(F.min(F.struct("find_index", "part_no", "vlng", "vlat")).alias("p"))
     some = few.groupBy("level", "cell").agg(F.collect_list("p").alias("few")).where(F.size("few") >= k)
     tried = queries.select("input_index", "lng", "lat", levels).withColumn("cell", _cell(unit_vector(F.col("lng"), F.col("lat")), F.col("level")))

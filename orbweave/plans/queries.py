@@ -81,7 +81,7 @@ def multipart_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multipart_knn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _suppliers(spark, sf_dir).unionByName(_suppliers(spark, sf_dir, offset=5000, part_no=1))
-    return near_join(_customers(spark, sf_dir), parts, k=3, mode="point", dedupe_features=True, strategy="pairs").matches.select(_OUT)
+    return near_join(_customers(spark, sf_dir), parts, k=3, mode="point", dedupe_features=True, strategy="grid").matches.select(_OUT)
 
 
 def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:

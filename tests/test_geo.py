@@ -72,6 +72,16 @@ def test_grid_equals_all_pairs_for_lines_and_areas(spark):
         assert found[0] == found[1]
 
 
+@pytest.mark.parametrize("r", [None, 900_000.0])
+def test_grid_equals_all_pairs_for_features_of_many_parts(spark, r):
+    # feature 0 has 12 parts beside the query; the others are far apart
+    rows = [(0, n, "Point", [[(0.0001 * n, 0.0)]], None, None, "shp") for n in range(12)]
+    rows += [(i, n, "Point", [[(x + 0.001 * n, y)]], None, None, "shp") for i, (x, y) in enumerate([(0.01, 0.0), (5.0, 0.0), *cloud(30, 8)], 1) for n in range(3)]
+    data, asked = spark.createDataFrame(rows, PART), points(spark, [(0, 0), (1, 1), *cloud(20, 9)])
+    found = [sorted(map(tuple, near_join(asked, data, k=3, r=r, strategy=s, mode="point", dedupe_features=True).matches.select("input_index", "distance", "find_index", "rank").collect())) for s in ("pairs", "grid")]
+    assert found[0] == found[1] and [x[2] for x in found[1][:3]] == [0, 1, 2]
+
+
 def test_k_nests_and_k_edges(spark):
     data, asked = parts(spark, [("Point", [[p]], None) for p in cloud(10, 1)]), points(spark, cloud(5, 2))
     rows = lambda k, **o: {tuple(x) for x in near_join(asked, data, k=k, **o).matches.select("input_index", "find_index").collect()}
