@@ -17,8 +17,9 @@ block is matched with all documents.
 
 Defined cases: null and empty texts have no words, are never hit and hit
 nothing; repeated document rows give a row each when the benchmark is one
-block, and one row per id beyond it; items with equal text are all named; an
-empty benchmark leaves all documents clean; further columns are ignored.
+block, and one row per id beyond it; items with equal text are all named;
+items without an id hit as any other, count together as one item, and add no id
+to the hash of the items' ids; an empty benchmark leaves all documents clean; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,8 +58,14 @@ def item_windows(benchmark: DataFrame, window: int, text_col: str, item_col: str
                         items.append(ids[lo + k])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(items, pa.string())], names=["words", "size", "item"])
 
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
-    return rows.mapInArrow(cut, "words binary, size long, item string").groupBy("words", "size").agg(F.collect_set("item").alias("items"))
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    known, unknown = F.collect_set("item"), F.when(F.bool_or(F.col("item").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return rows.mapInArrow(cut, "words binary, size long, item string").groupBy("words", "size").agg(F.concat(known, unknown).alias("items"))
+
+
+def in_order(items) -> list:
+    """Item ids sorted, none last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
 
 
 class Block:
@@ -66,7 +73,7 @@ class Block:
 
     def __init__(self, rows: list):
         self.words = [bytes(r["words"]) for r in rows]
-        self.items = [sorted(r["items"]) for r in rows]
+        self.items = [in_order(r["items"]) for r in rows]
         self.size = np.array([r["size"] for r in rows], dtype=np.int64)
         self.hash = np.zeros(len(rows), dtype=np.uint64)
         shingle, offset, owner, length = [], [], [], []
@@ -189,7 +196,7 @@ def _matches(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
                         else:
                             merged.append([a, end])
                     spans[lo + k] = [{"start": a, "end": b} for a, b in merged]
-                    items[lo + k] = sorted({x for o in np.unique(own[mask]).tolist() for x in mine.items[o]})
+                    items[lo + k] = in_order({x for o in np.unique(own[mask]).tolist() for x in mine.items[o]})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(spans, _MATCHES_ARROW.field("spans").type), pa.array(items, pa.list_(pa.string()))], schema=_MATCHES_ARROW)
 
     return docs.mapInArrow(match, MATCHES)

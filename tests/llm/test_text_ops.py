@@ -102,6 +102,15 @@ def test_decontamination_equals_brute_force(table, spark, block):
     assert out == brute_hits(docs, items)
 
 
+@pytest.mark.parametrize("block", [200_000, 1])
+def test_decontamination_items_without_id(table, spark, block):
+    items = [(None, "q r s"), (None, "t u"), (1, "q r s"), (2, "x y")]
+    found = decontaminate.find_contamination(table([(1, "a t u b q r s"), (2, "t u"), (3, "x y"), (4, "z")]), spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
+    out = {x["doc_id"]: tuple(x)[2:] for x in decontaminate.digest(found).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert out == {1: (5, 2, sha("1"), True), 2: (2, 1, sha(""), True), 3: (2, 1, sha("2"), True), 4: (0, 0, sha(""), False)}
+
+
 def test_decontamination_empty_sides(table, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in decontaminate.digest(decontaminate.find_contamination(table([(1, "a b")]), none)).collect()] == [(2, 0, 0)]
