@@ -16,8 +16,8 @@ what is broadcast has a fixed bound however large the benchmark is; every
 block is matched with all documents.
 
 Defined cases: null and empty texts have no words, are never hit and hit
-nothing; repeated document rows give a row each when the benchmark is one
-block, and one row per id beyond it; items with equal text are all named;
+nothing; repeated document rows and rows without an id give a row each (for a
+benchmark of several blocks, documents get row keys); items with equal text are all named;
 items without an id hit as any other, count together as one item, and add no id
 to the hash of the items' ids; an empty benchmark leaves all documents clean; further columns are ignored.
 """
@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import KEY, keyed
 from .text import PUNCT, Rolling, find_words, signed, text_slices, window_starts
 
 SHINGLE = 3
-MATCHES = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-_MATCHES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+MATCHES = f"{KEY} long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_MATCHES_ARROW = pa.schema([(KEY, pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def item_windows(benchmark: DataFrame, window: int, text_col: str, item_col: str) -> DataFrame:
@@ -179,7 +180,7 @@ def _matches(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             counts, spans, items = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
                 words = find_words(data, offsets, PUNCT, lower=True)
                 counts[lo:hi] = np.diff(words.first)
                 at, own = mine.occurrences(words, Rolling(words.prefix_hash()))
@@ -197,14 +198,13 @@ def _matches(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
                             merged.append([a, end])
                     spans[lo + k] = [{"start": a, "end": b} for a, b in merged]
                     items[lo + k] = in_order({x for o in np.unique(own[mask]).tolist() for x in mine.items[o]})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(spans, _MATCHES_ARROW.field("spans").type), pa.array(items, pa.list_(pa.string()))], schema=_MATCHES_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, _MATCHES_ARROW.field("spans").type), pa.array(items, pa.list_(pa.string()))], schema=_MATCHES_ARROW)
 
     return docs.mapInArrow(match, MATCHES)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id", block_windows: int = 200_000) -> DataFrame:
     """Per document: n_words, merged hit word spans, and the items found."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     windows = item_windows(benchmark, window, item_text_col, item_col)
     blocks, rows = [], []
     for row in windows.toLocalIterator():
@@ -214,9 +214,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             rows = []
     if rows or not blocks:
         blocks.append(Block(rows))
+    docs, key = (keyed(docs), F.col(KEY)) if len(blocks) > 1 else (docs, F.lit(0).cast("long"))
+    docs = docs.select(key.alias(KEY), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = [_matches(docs, b.choose_prefixes(_corpus_counts(docs, b) if len(b.words) else {})) for b in blocks]
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop(KEY)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -224,8 +226,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         if(size(acc) > 0 and s.start <= element_at(acc, -1).end,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(s.end, element_at(acc, -1).end)))),
            concat(acc, array(s))))"""
-    grouped = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return grouped.withColumn("spans", F.expr(merge))
+    grouped = out.groupBy(KEY, "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return grouped.drop(KEY).withColumn("spans", F.expr(merge))
 
 
 def digest(found: DataFrame) -> DataFrame:
