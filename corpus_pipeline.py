@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet in the shared folder and read again as the next stage's documents.
 All but the last keep the columns of the documents table.
 
+Stages reject rows, not ids: rows without an id are judged as all others, and a
+rejected row leaves other texts of its id alone.
+
 Counted as part of the training-data subpackage, with which it is removed.
 """
 
@@ -14,38 +17,32 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, toxicity
 from orbweave.llm.queries import read, vocabulary_path
+from orbweave.llm.rows import KEY, keyed, without
 from orbweave.llm.scratch import materialize
 
-#: Documents joined by broadcast at most; more are shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``gone``; rows with a null id stay."""
-    gone = materialize(gone.where("doc_id is not null").distinct(), "rejected")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents with a score of at least 0.5 go."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~language_id.held_out(F.col("doc_id"), 5, 0))
-    return _without(docs, toxicity.score(docs, model).where("score >= 0.5").select("doc_id"))
+    docs = keyed(docs)
+    found = toxicity.score(docs.withColumn("doc_id", F.col(KEY)), model)
+    return without(docs, found.where("score >= 0.5").select(F.col("doc_id").alias(KEY)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts the largest id stays."""
-    return exact_dedup.keep_one(docs)
+    """Exact dedup: of equal texts the row with the largest id stays."""
+    return exact_dedup.keep_one(docs, null_ids_stay=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group the smallest id stays."""
+    """N-gram Jaccard join: of each group the row with the smallest id stays."""
     return ngram_join.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a window of an item go."""
-    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(F.size("items") > 0).select("doc_id"))
+    docs = keyed(docs)
+    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"), id_col=KEY)
+    return without(docs, found.where(F.size("items") > 0).select(F.col("doc_id").alias(KEY)))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .rows import KEY, keyed, one_of_each, without
 from .scratch import fresh_path, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -146,8 +147,11 @@ def _regroup(docs: DataFrame, hits: DataFrame, unlike: DataFrame, text_col: str,
     return texts.join(groups, ["digest", "bytes"]).select("digest", "doc_id", "keep_id", F.lit(None).cast("string").alias("keep_locator"), "group_size")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay, with all their columns; rows without an id stay."""
-    gone = materialize(deduplicate(docs, text_col, id_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", null_ids_stay: bool = True) -> DataFrame:
+    """The documents that stay, with all their columns: of equal texts one row,
+    that with the largest id.  Rows without an id stay, or else only where no
+    copy has an id, and then one of them."""
+    docs = keyed(docs)
+    groups = deduplicate(docs, text_col, KEY).where("group_size > 1").select(F.col("doc_id").alias(KEY), F.col("keep_id").alias("group"))
+    gone = one_of_each(docs, groups, id_col, largest=True)
+    return without(docs, gone.where("id is not null") if null_ids_stay else gone)

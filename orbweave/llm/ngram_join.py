@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .rows import KEY, keyed, one_of_each, without
 from .scratch import materialize
 from .text import SPACE, Rolling, find_words, mix, signed, text_slices, window_starts
 
@@ -330,7 +331,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, t
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """The documents whose id is the smallest of their component."""
-    found = near_duplicates(docs, percent, k)
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(_few(gone), "doc_id", "left_anti")
+    """The rows whose id is the smallest of their component; of rows with one
+    id one stays, and one without an id only where no other has one."""
+    docs = keyed(docs)
+    groups = near_duplicates(docs, percent, k, id_col=KEY).select(F.col("doc_id").alias(KEY), F.col("component_id").alias("group"))
+    return without(docs, one_of_each(docs, groups, "doc_id", largest=False))
