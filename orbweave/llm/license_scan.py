@@ -10,11 +10,11 @@ out; a span that covers at least ``COVER`` of its template gives the template's
 label.
 
 The templates are a fixed list, so their broadcast has a fixed size.  Only votes
-are shuffled, by document.  Everything is DataFrame functions.
+are shuffled, by row.  Everything is DataFrame functions.
 
 Defined cases: null counts as empty; a text without words has no places, empty
 labels and score 0; overlapping places of different phrases all count; rows that
-repeat an id are judged together as one document; an empty table gives an empty
+repeat an id, or have none, are judged by themselves and give a row each; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exact_dedup import lower_ascii
+from .rows import KEY, keyed
 
 GAP = 3
 COVER = 0.6
@@ -82,32 +83,32 @@ _MARK = -(1 << 62) + 12345  # in the place of a hash; a real k-gram with it is t
 
 
 def votes(docs: DataFrame, grams: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Verified votes, and for each document one mark row with its length."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    """Verified votes, and for each row one mark row with its length."""
+    texts = keyed(docs).select(KEY, F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     rolled = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    places = texts.select("doc_id", "words", F.posexplode(F.concat(rolled, F.array(F.lit(_MARK)))).alias("pos", "gram"))
+    places = texts.select(KEY, "doc_id", "words", F.posexplode(F.concat(rolled, F.array(F.lit(_MARK)))).alias("pos", "gram"))
     met = places.join(F.broadcast(grams), "gram")
     same = (F.get("words", "pos") == F.col("one")) & (F.get("words", F.col("pos") + 1) == F.col("two"))
     at_end = (F.col("template") == _END) & (F.col("pos") == F.size("words"))
-    return met.where(at_end | ((F.col("template") != _END) & same)).select("doc_id", "pos", "template", "label", "base", "size", "tpos")
+    return met.where(at_end | ((F.col("template") != _END) & same)).select(KEY, "doc_id", "pos", "template", "label", "base", "size", "tpos")
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", phrases: dict[str, str] = PHRASES, notices=NOTICES) -> DataFrame:
-    """Per document: n_words, spans (template label, base, start, end, coverage)."""
+    """Per row: doc_id, n_words, spans (template label, base, start, end, coverage)."""
     found = votes(docs, templates(docs.sparkSession, phrases, notices), text_col, id_col)
     found = found.withColumn("diagonal", F.when(F.col("template") == _END, 0).otherwise(F.col("pos") - F.col("tpos")))
-    diagonals = found.groupBy("doc_id", "template", "label", "base", "size", "diagonal").agg(
+    diagonals = found.groupBy(KEY, "doc_id", "template", "label", "base", "size", "diagonal").agg(
         F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
     )
-    by = W.partitionBy("doc_id", "template").orderBy("diagonal")
+    by = W.partitionBy(KEY, "doc_id", "template").orderBy("diagonal")
     near = (F.col("diagonal") - F.lag("diagonal").over(by) <= GAP) & ~F.col("base") & (F.col("lo") - F.lag("hi").over(by) <= GAP + 1)
     bands = diagonals.withColumn("new", F.when(near, 0).otherwise(1)).withColumn("band", F.sum("new").over(by))
-    spans = bands.groupBy("doc_id", "template", "label", "base", "size", "band").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    spans = bands.groupBy(KEY, "doc_id", "template", "label", "base", "size", "band").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     cover = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1))
     row = F.struct("template", "label", "base", F.col("lo").cast("long").alias("start"), (F.col("hi") + 2).cast("long").alias("end"), cover.alias("cover"))
     n_words = F.max(F.when(F.col("template") == _END, F.col("lo"))).cast("long")
     good = F.when((F.col("template") != _END) & (cover >= F.when(F.col("base"), 1.0).otherwise(COVER)), row)
-    return spans.groupBy("doc_id").agg(n_words.alias("n_words"), F.array_sort(F.collect_list(good)).alias("spans"))
+    return spans.groupBy(KEY, "doc_id").agg(n_words.alias("n_words"), F.array_sort(F.collect_list(good)).alias("spans")).drop(KEY)
 
 
 def digest(found: DataFrame) -> DataFrame:
