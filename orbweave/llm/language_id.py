@@ -19,7 +19,8 @@ shuffle.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 letters of no learned language give the most frequent training language with
-score 0; ties go to the more frequent training language, then by name; without
+score 0; ties go to the more frequent training language, then by name (languages
+are counted over all training rows, not over the sample); without
 any labelled text all results are ``und``; null labels are not learned from;
 repeated rows give a row each; extra columns are ignored.
 """
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, per_language: int
     counted = labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= per_language)
     rows = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # per_language grams each
-    frequent = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequent = {r["lang"]: r["n"] for r in docs.where(train & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = {r["lang"]: np.array(r["grams"], dtype=np.int64).view(np.uint64) for r in rows}
     return Model(sorted(found, key=lambda x: (-frequent[x], x)), found)
 
