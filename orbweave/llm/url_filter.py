@@ -8,7 +8,9 @@ border, joined with a beginning of its path of a length that some rule has.  The
 keys are tested against a blocked Bloom filter of all rules (one block of 256
 bits for each key, eight bits set in it); a block is fetched by an equi-join on
 its number.  What passes is a possible hit and goes to an exact hash join with
-the rules, which removes false positives.
+the rules, which removes false positives.  The method's own list of host labels
+goes the same way as a second kind of key, the single labels of a host; its hits
+set the verdict where no rule fits, and name no rule.
 
 Everything is DataFrame functions.  The filter's size is a parameter, so the
 broadcast of its blocks has a fixed bound; the rules themselves are joined by
@@ -69,8 +71,12 @@ def _masks(key: Column) -> list[Column]:
     return out
 
 
+#: Kinds of keys.
+RULE, LABEL = 0, 1
+
+
 def build_filter(rules: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """Blocked Bloom filter: at most ``blocks`` rows (block, w0..w3)."""
+    """Blocked Bloom filter of keys (host, path): at most ``blocks`` rows (block, w0..w3)."""
     key = F.concat("host", "path")
     masks = rules.select(_place(key, blocks).alias("block"), *(m.alias(f"w{i}") for i, m in enumerate(_masks(key))))
     return masks.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
@@ -86,15 +92,21 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.struct(s.alias("h"), n.alias("n")))))
-    tried = urls.select("host", "path", F.explode(keys).alias("k")).select("host", "path", F.col("k.h").alias("rule_host"), F.expr("left(path, k.n)").alias("rule_path"))
+    own = rules.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(listed_labels)], "host string")
+    listed = rules.select(F.lit(RULE).alias("kind"), "host", "path", "verdict").unionByName(own.select(F.lit(LABEL).alias("kind"), "host", F.lit("").alias("path"), F.lit("block").alias("verdict")))
+    keys = F.transform(keys, lambda k: F.struct(F.lit(RULE).alias("kind"), k["h"].alias("h"), k["n"].alias("n")))
+    if listed_labels:
+        keys = F.concat(keys, F.transform(F.array_distinct(labels), lambda x: F.struct(F.lit(LABEL).alias("kind"), x.alias("h"), F.lit(0).alias("n"))))
+    tried = urls.select("host", "path", F.explode(keys).alias("k")).select("host", "path", F.col("k.kind").alias("kind"), F.col("k.h").alias("rule_host"), F.expr("left(path, k.n)").alias("rule_path"))
     key = F.concat("rule_host", "rule_path")
-    possible = tried.withColumn("block", _place(key, blocks)).join(F.broadcast(build_filter(rules, blocks)), "block")
+    possible = tried.withColumn("block", _place(key, blocks)).join(F.broadcast(build_filter(listed, blocks)), "block")
     for i, mask in enumerate(_masks(key)):
         possible = possible.where(F.col(f"w{i}").bitwiseAND(mask) == mask)
-    listed = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
-    hits = possible.select("host", "path", "rule_host", "rule_path").join(listed, ["rule_host", "rule_path"])
+    listed = listed.withColumnsRenamed({"host": "rule_host", "path": "rule_path"})
+    hits = possible.select("host", "path", "kind", "rule_host", "rule_path").join(listed, ["kind", "rule_host", "rule_path"])
     rule = F.concat("rule_host", "rule_path")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("length"), rule.alias("rule"), "verdict")).alias("best"))
-    own = F.arrays_overlap(F.split("host", r"\."), F.lit(listed_labels).cast("array<string>")) if listed_labels else F.lit(False)
-    verdict = F.coalesce("best.verdict", F.when(own, "block").otherwise(default))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    best = F.max(F.when(F.col("kind") == RULE, F.struct(F.length(rule).alias("length"), rule.alias("rule"), "verdict")))
+    by_label = F.max(F.when(F.col("kind") == LABEL, F.col("verdict")))
+    found = hits.groupBy("host", "path").agg(best.alias("best"), by_label.alias("own"))
+    verdict = F.coalesce("best.verdict", "own", F.lit(default))
+    return urls.join(found, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
