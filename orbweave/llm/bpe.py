@@ -3,22 +3,27 @@
 Encoding.  A sequence of tokens is the encoding of its bytes exactly when every
 neighbouring pair is: when encoding the two tokens' bytes gives the two tokens
 back.  So each prefix of a piece has one valid last token, found from the valid
-last tokens of the prefixes at most one token's length before it.  The
-transducer keeps that sliding window only.  The chains that run back from the
-positions of the window meet; what lies before the meeting point can no longer
-change and is emitted.  How far the meeting point can lag is bounded by the
-merge list: a later byte can only move a boundary through a chain of merges
-that overlap one another, each of lower priority than the one it undoes, so
-``lookahead`` = longest such chain times the longest token.  Memory is constant
-in the length of a text.
+last tokens of the prefixes at most one token's length before it.
+
+Lookahead.  Take the encodings of u and of uv.  Both apply the merges by rank;
+left of the *front*, at first the end of u, they agree at all times.  The front
+moves only when one of them applies a merge (x, y) whose y begins at the front:
+then it moves back by x.  At that time x is a whole token in both, so the next
+such merge (x', y') has a later rank and a y' that was built from x at its left
+edge (a merge of equal rank further left was made before, in both).  Hence the
+front moves back by at most the heaviest chain of such merges, each weighing its
+x, which ``sufficient_lookahead`` computes from the merge list alone.  The
+transducer emits every token that ends so many bytes before what it has read,
+and keeps only the bytes after; its memory is constant in the length of a text.
+Texts are fed to it in chunks, pieces longer than a chunk too.
 
 Decoding.  Each id appends its bytes to an incremental byte-to-text state
 machine, which holds at most one unfinished character; malformed bytes become
 U+FFFD.
 
 Pieces come from the vocabulary's pattern, and special tokens are cut out of
-the text first, as the public library does.  Pieces repeat, so results are kept
-in a table of bounded size.
+the text first, as the public library does.  Pieces repeat, so results of short
+ones are kept in a table of bounded size.
 
 Defined cases: null counts as empty and has no tokens; rows may repeat; an
 empty table gives an empty result; extra columns are ignored.
@@ -31,15 +36,18 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: The split pattern of the byte-level vocabularies (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
@@ -48,8 +56,11 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 _LATIN = re.compile(rf"[\t-\r -~{_LETTERS}]*")
 _LATIN_PATTERN = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _SPACE_PAIRS = [a + " " for a in "\t\n\v\f\r "]
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+CACHE_PAIRS = 300_000
 CACHED_LENGTH = 64
+#: Characters of a text, and bytes of a piece, taken at a time.
+CHUNK = 1 << 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -93,20 +104,25 @@ class Vocabulary:
 
 
 def sufficient_lookahead(vocab: Vocabulary) -> int:
-    """Bytes after which a boundary is settled, from the merge list alone.
+    """Bytes by which later text can move the boundaries of a prefix at most.
 
-    Chain length of a merge: 1 + the longest chain among merges of higher
-    priority whose left part starts with bytes that its right part ends in;
-    such a merge can take away the bytes that this one would have joined.
-    Chains are followed by the token that two merges share at the seam.
+    A chain is a sequence of merges of ascending rank in which the left part of
+    each is at the left edge, while it is built, of the right part of the next.
     """
-    depth_of: dict[int, int] = {}
-    longest = 1
-    for (left, right), _ in sorted(vocab.merges.items(), key=lambda kv: kv[1][0]):
-        depth = 1 + depth_of.get(right, 0)
-        longest = max(longest, depth)
-        depth_of[left] = max(depth_of.get(left, 0), depth)
-    return longest * vocab.longest
+    length = {i: len(b) for i, b in vocab.bytes.items()}
+    left_of: dict[int, int] = {}
+    for (left, _), (_, token) in sorted(vocab.merges.items(), key=lambda kv: kv[1][0]):
+        left_of.setdefault(token, left)
+    heaviest_after: dict[int, int] = {}  # by token at a left edge: of the chains that may follow
+    most = 0
+    for (left, right), _ in sorted(vocab.merges.items(), key=lambda kv: -kv[1][0]):
+        weight = length[left] + heaviest_after.get(left, 0)
+        most = max(most, weight)
+        token: int | None = right
+        while token is not None:
+            heaviest_after[token] = max(heaviest_after.get(token, 0), weight)
+            token = left_of.get(token)
+    return most
 
 
 class _Recent(dict):
@@ -133,7 +149,7 @@ class Transducer:
     def __init__(self, vocab: Vocabulary, cache: int = CACHE_PIECES):
         self.vocab, self.ids, self.longest = vocab, vocab.ids, vocab.longest
         self.lookahead = sufficient_lookahead(vocab)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by both ids, 32 bits each
         self._edges: tuple[dict, dict] = {}, {}
         self._no_rank = len(vocab.merges)
         self._parts: dict[int, tuple[int, tuple[int, int]]] = {}
@@ -143,15 +159,12 @@ class Transducer:
         self._pattern = regex.compile(PATTERN)
         self._special_pattern = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) or r"(?!)")
         self._starts: dict[bytes, int] = {}  # 3-byte heads -> longest token with that head
-        self._longest = ahocorasick.Automaton()
-        for token, i in vocab.ids.items():
-            self._longest.add_word(token.decode("latin-1"), i)
-        self._longest.make_automaton()
-        for token in vocab.ids:
+        self.ids = self._proper_tokens()
+        for token in self.ids:
             head = token[:3]
             self._starts[head] = max(self._starts.get(head, 0), len(token))
 
-    def _edge(self, token: int, right: bool) -> list[tuple[int, int]]:
+    def _edge(self, token: int, right: bool, keep: bool = True) -> list[tuple[int, int]]:
         """The tokens at one end of ``token`` while it is built, from the byte
         up, each with the rank of the merge that takes it in (none: no limit)."""
         edges = self._edges[right]
@@ -165,136 +178,131 @@ class Transducer:
                 limit, pair = self._parts[token]
                 token = pair[right]
             found.reverse()
-            edges[found[-1][0]] = found
+            if keep:
+                edges[found[-1][0]] = found
         return found
 
-    def stable_pair(self, left: int, right: int) -> bool:
-        """Whether the encoding of the two tokens' bytes is these two tokens.
+    def _first_merge(self, left: int, right: int, keep: bool = True) -> tuple[int, int] | None:
+        """The first merge over the seam when both tokens are built at once.
 
-        Both are built at once; at each time the tokens that meet at the seam
-        must not merge before one of them is taken in by its own side.  Of
-        equal ranks the leftmost merge comes first.
+        At each time the tokens that meet at the seam merge unless one of them is
+        taken in by its own side before; of equal ranks the leftmost comes first.
         """
-        known = self._pairs.get((left, right))
+        a, b, i, j = self._edge(left, True, keep), self._edge(right, False, keep), 0, 0
+        while True:
+            (x, x_ends), (y, y_ends) = a[i], b[j]
+            merge = self.vocab.merges.get((x, y))
+            if merge is not None and merge[0] < x_ends and merge[0] <= y_ends:
+                return x, y
+            if x_ends == y_ends == self._no_rank:
+                return None
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
+    def _proper_tokens(self) -> dict[bytes, int]:
+        """Tokens that the encoding of their own bytes gives; no others occur."""
+        proper = {i for i in self.ids.values() if i not in self._parts}
+        for token, (_, pair) in self._parts.items():  # in order of rank
+            if pair[0] in proper and pair[1] in proper and self._first_merge(*pair, keep=False) == pair:
+                proper.add(token)
+        return {b: i for b, i in self.ids.items() if i in proper and (len(b) == 1 or i in self._parts)}
+
+    def stable_pair(self, left: int, right: int) -> bool:
+        """Whether the encoding of the two tokens' bytes is these two tokens."""
+        known = self._pairs.get(left << 32 | right)
         if known is None:
-            a, b, i, j, known = self._edge(left, True), self._edge(right, False), 0, 0, True
-            while known:
-                (x, x_ends), (y, y_ends) = a[i], b[j]
-                merge = self.vocab.merges.get((x, y))
-                if merge is not None and merge[0] < x_ends and merge[0] <= y_ends:
-                    known = False
-                elif x_ends == y_ends == self._no_rank:
-                    break
-                elif x_ends <= y_ends:
-                    i += 1
-                else:
-                    j += 1
-            if len(self._pairs) >= 1_000_000:
+            if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
-            self._pairs[left, right] = known
+            known = self._pairs[left << 32 | right] = self._first_merge(left, right) is None
         return known
 
-    def stream(self, data: bytes) -> Iterator[int]:
-        """Tokens of one piece, each emitted as soon as it cannot change."""
-        ids, starts, longest, stable = self.ids, self._starts, self.longest, self.stable_pair
-        n, done = len(data), 0
-        last: dict[int, tuple[int, int]] = {}  # end -> (valid last token, its start), from the settled end on
-        for at in range(n):
-            left = last[at][0] if at else -1
-            for size in range(1, min(starts.get(data[at : at + 3], 2), n - at) + 1):
-                token = ids.get(data[at : at + size])
-                if token is not None and at + size not in last and (left < 0 or stable(left, token)):
-                    last[at + size] = token, at
-            end = at + 1
-            if end == n or end - done >= self.lookahead:
-                settled = n if end == n else self._meeting(last, [e for e in range(max(done + 1, end - longest), end + 1)], done)
-                chain, e = [], settled
-                while e > done:
-                    token, e = last[e]
-                    chain.append(token)
-                yield from reversed(chain)
-                for e in [e for e in last if e < settled]:
-                    del last[e]
-                done = settled
-
-    @staticmethod
-    def _meeting(last: dict[int, tuple[int, int]], ends: list[int], done: int) -> int:
-        """The furthest boundary that all chains back from ``ends`` pass."""
-        front = set(ends)
-        while len(front) > 1:
-            furthest = max(front)
-            front.discard(furthest)
-            front.add(max(last[furthest][1], done))
-        return front.pop()
-
-    def short(self, data: bytes) -> list[int]:
-        """Tokens of a piece that ends within the lookahead.
-
-        Takes the longest token each time; if all neighbours fit, that is the
-        encoding.  Otherwise it goes forward by the longest token that fits and
-        steps back where none does.  A start that failed once fails always, as the
+    def stream(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
+        """Tokens of one piece, each emitted as soon as it cannot change.
+
+        Goes forward by the longest token that fits its left neighbour and steps
+        back where none does.  A place that failed once fails always, as the
         valid last token before it is unique.
         """
-        ids, starts, pairs, n = self.ids, self._starts, self._pairs, len(data)
-        out = [i for _, i in self._longest.iter_long(data.decode("latin-1"))]
-        for pair in zip(out, out[1:]):
-            fits = pairs.get(pair)
-            if not (self.stable_pair(*pair) if fits is None else fits):
-                break
-        else:
-            return out
-        out = []
+        ids, starts, pairs, stable, longest = self.ids, self._starts, self._pairs, self.stable_pair, self.longest
+        data, final, chunks = b"", False, iter(chunks)
+        out: list[int] = []  # tokens from the start of ``data`` up to ``at``
         begins: list[int] = []
         failed: set[int] = set()
-        at, size, left = 0, min(starts.get(data[:3], 2), n), -1
-        while at < n:
-            while size:
-                token = ids.get(data[at : at + size])
-                if token is not None and at + size not in failed:
-                    fits = left < 0 or pairs.get((left, token))
-                    if fits or fits is None and self.stable_pair(left, token):
-                        break
-                size -= 1
-            if size:
-                out.append(token)
-                begins.append(at)
-                left = token
-                at += size
-                size = min(starts.get(data[at : at + 3], 2), n - at)
-            else:
-                failed.add(at)
-                end, at = at, begins.pop()
-                out.pop()
-                left, size = out[-1] if out else -1, end - at - 1
-        return out
+        at, left, before = 0, -1, -1
+        while not final:
+            chunk = next(chunks, None)
+            final = chunk is None
+            data = data + chunk if chunk else data
+            n = len(data)
+            stop = n if final else n - longest + 1  # all tokens that begin before lie within the data
+            size = min(starts.get(data[at : at + 3], 2), n - at)
+            while at < stop:
+                while size:
+                    token = ids.get(data[at : at + size])
+                    if token is not None and at + size not in failed:
+                        fits = left < 0 or pairs.get(left << 32 | token)
+                        if fits or fits is None and stable(left, token):
+                            break
+                    size -= 1
+                if size:
+                    out.append(token)
+                    begins.append(at)
+                    left = token
+                    at += size
+                    size = min(starts.get(data[at : at + 3], 2), n - at)
+                else:
+                    failed.add(at)
+                    end, at = at, begins.pop()
+                    out.pop()
+                    left, size = out[-1] if out else before, end - at - 1
+            if final:
+                yield out
+                return
+            keep = bisect_right(begins, at - self.lookahead) - 1  # tokens before end so long ago
+            if keep > 0:
+                yield out[:keep]
+                before = out[keep - 1]
+                shift = begins[keep]
+                data, at, failed = data[shift:], at - shift, {f - shift for f in failed if f > shift}
+                out, begins = out[keep:], [b - shift for b in begins[keep:]]
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
-        return array("I", self.short(data) if len(data) <= CACHED_LENGTH else self.stream(data)).tobytes()
+        chunks = (data,) if len(data) <= CHUNK else (data[k : k + CHUNK] for k in range(0, len(data), CHUNK))
+        return b"".join(array("I", tokens).tobytes() for tokens in self.stream(chunks))
 
     def _spaced(self, segment: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, self._pattern_for(segment).findall(" " + segment)))
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not any(s in text for s in self.vocab.special):
-            return self._ordinary(text)
-        out, at = [], 0
-        for m in self._special_pattern.finditer(text):
-            out += [self._ordinary(text[at : m.start()]), array("I", [self.vocab.special[m[0]]]).tobytes()]
-            at = m.end()
-        return b"".join([*out, self._ordinary(text[at:])])
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, chunk by chunk."""
+        at = 0
+        if any(s in text for s in self.vocab.special):
+            for m in self._special_pattern.finditer(text):
+                yield from self._ordinary(text[at : m.start()])
+                yield array("I", [self.vocab.special[m[0]]]).tobytes()
+                at = m.end()
+        yield from self._ordinary(text[at:] if at else text)
 
     def _pattern_for(self, text: str):
         return _LATIN_PATTERN if _LATIN.fullmatch(text) else self._pattern
 
-    def _ordinary(self, text: str) -> bytes:
+    def _ordinary(self, text: str) -> Iterator[bytes]:
         if any(map(text.__contains__, _SPACE_PAIRS)) or not _LATIN.fullmatch(text):
-            return b"".join(map(self._pieces.__getitem__, self._pattern_for(text).findall(text)))
+            pieces = (m[0] for m in self._pattern_for(text).finditer(text))
+            while some := b"".join(map(self._pieces.__getitem__, islice(pieces, CHUNK))):
+                yield some
+            return
         # No white space before a space: each space starts a piece, whatever stands before it.
-        first, *rest = text.split(" ")
-        head = b"".join(map(self._pieces.__getitem__, _LATIN_PATTERN.findall(first)))
-        return head + b"".join(map(self._segments.__getitem__, rest))
+        at, n = 0, len(text)
+        while at < n:
+            end = n if at + CHUNK >= n else text.find(" ", at + CHUNK)
+            end = n if end < 0 else end
+            first, *rest = text[at:end].split(" ")
+            yield b"".join(map(self._pieces.__getitem__, _LATIN_PATTERN.findall(first))) + b"".join(map(self._segments.__getitem__, rest))
+            at = end
 
 
 class Decoder:
@@ -309,10 +317,9 @@ class Decoder:
         table = self._bytes
         return self._state.decode(b"".join(map(table.__getitem__, ids)), final)
 
-    def decode(self, packed: bytes, step: int = 1 << 16) -> Iterator[str]:
-        ids = np.frombuffer(packed, dtype="<u4")
-        for k in range(0, len(ids), step):
-            yield self.push(ids[k : k + step].tolist())
+    def decode(self, chunks: Iterable[bytes]) -> Iterator[str]:
+        for packed in chunks:
+            yield self.push(np.frombuffer(packed, dtype="<u4").tolist())
         yield self.push([], final=True)
         self._state.reset()
 
@@ -340,6 +347,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | bytes, text_col: str = "tex
     if isinstance(vocabulary, str):
         with open(vocabulary, "rb") as f:
             vocabulary = f.read()
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -355,13 +363,22 @@ def encode_decode(docs: DataFrame, vocabulary: str | bytes, text_col: str = "tex
                 part = batch.slice(lo, 256)
                 rows: list[tuple] = []
                 for text in part.column(1):
-                    packed = transducer.encode(text.as_py() or "")
-                    seen, pieces = hashlib.sha256(), []
-                    for piece in decoder.decode(packed):
+                    ids, seen, n, packed, pieces = hashlib.sha256(), hashlib.sha256(), 0, [], []
+
+                    def tokens(text: str = text.as_py() or "") -> Iterator[bytes]:
+                        nonlocal n
+                        for chunk in transducer.encode(text):
+                            ids.update(chunk)  # noqa: B023
+                            n += len(chunk) // 4
+                            if keep:
+                                packed.append(chunk)  # noqa: B023
+                            yield chunk
+
+                    for piece in decoder.decode(tokens()):
                         seen.update(piece.encode())
                         if keep:
                             pieces.append(piece)
-                    rows.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), seen.hexdigest(), *((np.frombuffer(packed, "<u4").astype(np.int64), "".join(pieces)) if keep else ())))
+                    rows.append((n, ids.hexdigest(), seen.hexdigest(), *((np.frombuffer(b"".join(packed), "<u4").astype(np.int64), "".join(pieces)) if keep else ())))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 

@@ -7,20 +7,22 @@ document's content locator, and the number of documents seen.  The state and its
 changelog are in the shared checkpoint folder, so a query resumes after a loss
 and later files are judged against all earlier ones.
 
-A digest seen before is a hit.  The full bytes of all hits are compared with the
-bytes of the document that stays; a digest with unlike texts is regrouped by
-whole texts.  Only hits' texts are moved.
+A digest seen before is a hit.  The locator says where the content of the
+document that stays is read again, and the full bytes of all hits are compared
+with it; a digest with unlike texts is regrouped by whole texts.  Only hits'
+texts are moved.
 
-The main path is DataFrame operations and the JVM's state store only.  Copies
-are combined before each shuffle, and the joins are equi-joins that adaptive
-execution can split, so a third of all rows in one group loads no single task.
+The main path is DataFrame operations and the JVM's state store only.  Texts of
+hits are combined to unlike ones before they are shuffled, and digests that many
+rows share meet their state by broadcast (``skew``), so a third of all rows in
+one group loads no single task.
 
 Defined cases: null texts count as empty and are equal to each other; texts are
-equal when identical after lower-casing A-Z; rows that repeat an id with one
-text are members of the group each, and all rows with the kept id are kept; a
-null id is never the kept one unless the group has no other, then
-``keep_id`` is null and the row is kept; an empty table gives an empty result;
-further columns are ignored.
+equal when identical after lower-casing A-Z; rows are judged each by itself, so
+rows that repeat an id may be in different groups, and all rows of a group with
+its kept id are kept; a null id is never the kept one unless the group has no
+other, then ``keep_id`` is null and the rows are kept; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from .rows import KEY, keyed, one_of_each, without
+from .rows import KEY, LOCATOR, keyed, without
 from .scratch import fresh_path, materialize
+from .skew import join_totals
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: At most this many hits are joined by broadcast; more are shuffled.
@@ -43,7 +45,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space ahead of need
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
 }
 
 
@@ -69,14 +71,10 @@ def _settings(spark: SparkSession, values: dict[str, str]):
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest=sha256_digest) -> DataFrame:
-    """(doc_id, digest, locator); the locator is the row's place in its file,
-    where the source tells it."""
+    """(key, doc_id, digest, locator); the locator is the row's place: its file
+    and row number, or its key where the source has no files."""
     text = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    columns = [F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest")]
-    try:
-        return docs.select(*columns, F.concat_ws("#", "_metadata.file_name", "_metadata.row_index").alias("locator"))
-    except AnalysisException:
-        return docs.select(*columns, F.lit(None).cast("string").alias("locator"))
+    return keyed(docs, locator=True).select(KEY, F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), F.col(LOCATOR).alias("locator"))
 
 
 def run_stream(stream: DataFrame, checkpoint: str, output: str) -> None:
@@ -103,55 +101,51 @@ def keyed_state(spark: SparkSession, output: str) -> DataFrame:
     return rows.groupBy("digest").agg(best.alias("s")).select("digest", F.col("s.doc_id").alias("keep_id"), F.col("s.locator").alias("keep_locator"), F.col("s.n").alias("group_size"))
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest=sha256_digest) -> DataFrame:
-    """Per document: keep_id, group_size, kept, text_sha256, keep_locator."""
+def _judged(docs: DataFrame, text_col: str, id_col: str, digest) -> DataFrame:
+    """Per row of the keyed ``docs``: what its group keeps."""
     spark = docs.sparkSession
     prints = materialize(fingerprints(docs, text_col, id_col, digest), "fingerprints")
     base = fresh_path(spark, "exact-dedup")
     if prints.isEmpty():
-        nothing = {"keep_id": F.lit(None).cast("long"), "keep_locator": F.lit(None).cast("string"), "group_size": F.lit(0).cast("long")}
-        return _result(prints.withColumns(nothing))
-    run_stream(spark.readStream.schema(prints.schema).parquet(prints.inputFiles()[0].rsplit("/", 1)[0]), f"{base}/checkpoint", f"{base}/state")
-    state = keyed_state(spark, f"{base}/state")
-    hits = materialize(prints.select("doc_id", "digest").join(state.where("group_size > 1"), "digest"), "hits")
-    unlike = _unlike_digests(docs, hits, text_col, id_col)
-    judged = prints.drop("locator").join(state, "digest")
-    if not unlike.isEmpty():
-        again = _regroup(docs, hits, unlike, text_col, id_col)
-        judged = judged.join(unlike, "digest", "left_anti").unionByName(again)
-    return _result(judged)
-
-
-def _result(judged: DataFrame) -> DataFrame:
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return judged.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"), "keep_locator")
+        return prints.withColumns({"keep_id": F.lit(None).cast("long"), "keep_locator": F.lit(None).cast("string"), "group_size": F.lit(0).cast("long")})
+    run_stream(spark.readStream.schema(prints.schema).parquet(prints._scratch_path), f"{base}/checkpoint", f"{base}/state")
+    state = materialize(keyed_state(spark, f"{base}/state"), "state")
+    judged = join_totals(prints, state, ["digest"], "group_size")
+    hits = materialize(judged.where("group_size > 1").select(KEY, "doc_id", "digest", "locator", "keep_locator"), "hits")
+    variants, unlike = _unlike_digests(docs, hits, text_col)
+    if unlike.isEmpty():
+        return judged
+    again = _bytes_of(docs, hits.join(unlike, "digest", "left_semi"), text_col).join(variants, ["digest", "bytes"])
+    again = again.select(KEY, "doc_id", "digest", "locator", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep_locator"), "group_size")
+    return judged.join(unlike, "digest", "left_anti").unionByName(again)
 
 
-def _hit_texts(docs: DataFrame, hits: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    few = hits.count() <= BROADCAST_ROWS
-    ids = hits.select("doc_id", "digest", "keep_id", "keep_locator", "group_size").distinct()
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("raw")).join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "digest", "keep_id", "keep_locator", "group_size", lower_ascii(F.coalesce(F.col("raw").cast("string"), F.lit(""))).alias("bytes"))
+def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest=sha256_digest) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256, keep_locator."""
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    judged = _judged(keyed(docs, locator=True), text_col, id_col, digest)
+    return judged.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"), "keep_locator")
 
 
-def _unlike_digests(docs: DataFrame, hits: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Digests of which some hit's bytes are not those of the one that stays."""
-    texts = materialize(_hit_texts(docs, hits, text_col, id_col), "hit-texts")
-    stays = texts.where("doc_id = keep_id").groupBy("digest").agg(F.min("bytes").alias("kept_bytes"))
-    return materialize(texts.join(stays, "digest").where("bytes <> kept_bytes").select("digest").distinct(), "unlike")
+def _bytes_of(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` of the keyed ``docs`` with their normalised text as ``bytes``."""
+    few = rows.count() <= BROADCAST_ROWS
+    text = lower_ascii(F.coalesce(F.col("_raw").cast("string"), F.lit("")))
+    return docs.select(KEY, F.col(text_col).alias("_raw")).join(F.broadcast(rows) if few else rows, KEY).select(*rows.columns, text.alias("bytes"))
 
 
-def _regroup(docs: DataFrame, hits: DataFrame, unlike: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Groups by whole bytes, for digests that unlike texts share."""
-    texts = _hit_texts(docs, hits.join(unlike, "digest", "left_semi"), text_col, id_col).select("doc_id", "digest", "bytes")
-    groups = texts.groupBy("digest", "bytes").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return texts.join(groups, ["digest", "bytes"]).select("digest", "doc_id", "keep_id", F.lit(None).cast("string").alias("keep_locator"), "group_size")
+def _unlike_digests(docs: DataFrame, hits: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts of each hit digest with their groups, and the digests
+    of which some text is not the one at the kept document's locator."""
+    best = F.max(F.struct("doc_id", "locator"))
+    texts = _bytes_of(docs, hits, text_col).groupBy("digest", "bytes").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    variants = materialize(texts, "variants")
+    stays = _bytes_of(docs, hits.where("locator = keep_locator").select(KEY, "digest"), text_col).select("digest", F.col("bytes").alias("kept_bytes"))
+    return variants, materialize(variants.join(stays, "digest").where("bytes <> kept_bytes").select("digest").distinct(), "unlike")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", null_ids_stay: bool = True) -> DataFrame:
-    """The documents that stay, with all their columns: of equal texts one row,
-    that with the largest id.  Rows without an id stay, or else only where no
-    copy has an id, and then one of them."""
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows that stay, with all their columns: of equal texts one, that with
+    the largest id; one without an id only where no copy has one."""
     docs = keyed(docs)
-    groups = deduplicate(docs, text_col, KEY).where("group_size > 1").select(F.col("doc_id").alias(KEY), F.col("keep_id").alias("group"))
-    gone = one_of_each(docs, groups, id_col, largest=True)
-    return without(docs, gone.where("id is not null") if null_ids_stay else gone)
+    return without(docs, _judged(docs, text_col, id_col, sha256_digest).where("locator <> keep_locator"))

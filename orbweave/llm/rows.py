@@ -7,22 +7,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 KEY = "_row_key"
+#: Where a row stands: file and row number, or its key.
+LOCATOR = "_row_locator"
 #: Rejected rows joined by broadcast at most; more are shuffled.
 BROADCAST_ROWS = 200_000
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, locator: bool = False) -> DataFrame:
     """``docs`` with a number of its own for each row in ``KEY``, the same
-    whenever the result is read.
+    whenever the result is read, and on demand a ``LOCATOR``.
 
     Rows of a plain file scan are numbered by file and place in it; any other
     table is written once with its numbers.  A table that has keys keeps them.
     """
+    small_batches(docs.sparkSession)
     if KEY in docs.columns:
-        return docs
+        return docs.withColumn(LOCATOR, F.concat(F.lit("row#"), F.col(KEY))) if locator and LOCATOR not in docs.columns else docs
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
         try:
             placed = docs.select("*", F.col("_metadata.file_path").alias("_row_file"), F.col("_metadata.row_index").alias("_row_index"))
@@ -31,8 +34,9 @@ def keyed(docs: DataFrame) -> DataFrame:
             pass
         else:
             numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_row_file string, _row_number long")
-            return placed.join(F.broadcast(numbers), "_row_file").select(*docs.columns, (F.col("_row_number") * F.lit(1 << 40) + F.col("_row_index")).alias(KEY))
-    return materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+            out = placed.join(F.broadcast(numbers), "_row_file").select("*", (F.col("_row_number") * F.lit(1 << 40) + F.col("_row_index")).alias(KEY))
+            return out.select(*docs.columns, KEY, *([F.concat_ws("#", "_row_file", "_row_index").alias(LOCATOR)] if locator else []))
+    return keyed(materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed"), locator)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

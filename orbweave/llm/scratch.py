@@ -1,8 +1,8 @@
 """Shared working folder for intermediate tables.
 
 The cluster names a folder that the driver and all executors share in
-``spark.checkpoint.dir``.  Only where it is unset (tests on one machine) a
-temporary folder is made and set.
+``spark.checkpoint.dir``.  Only a session on one machine (a local master) that
+leaves it unset gets a temporary folder; any other session must set it.
 """
 
 from __future__ import annotations
@@ -13,12 +13,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Size of Arrow batches between the JVM and Python workers, where the session
+#: sets none: a worker's memory follows the batch, and documents are long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+class NoSharedFolder(RuntimeError):
+    pass
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as a URI without a trailing slash."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise NoSharedFolder(f"set {_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orbweave-")
         spark.conf.set(_KEY, found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -26,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    for key, value in BATCHES.items():
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, str(value))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orbweave/{name}-{uuid.uuid4().hex}"
 
@@ -38,4 +53,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

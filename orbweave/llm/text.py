@@ -3,7 +3,8 @@
 Texts are handled as UTF-8 bytes.  All word separators of this subpackage are
 ASCII, so a byte class decides them and no text is decoded.  Hashes are
 polynomials modulo 2**64 over the bytes of a word, then over the words of a
-window (Rabin-Karp: differences of prefix sums), finished by a bit mixer.
+window (Rabin-Karp: differences of prefix sums), finished by a bit mixer; a
+second word hash is a polynomial modulo a prime.
 Work is done in slices of about ``SLICE`` bytes, so memory follows the longest
 single text and not the batch.
 """
@@ -16,7 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
+_PRIME = 2_147_483_647
+_PRIME_BASE = 1_000_003
 _BYTE_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 _WORD_BASE = 0xD1342543DE82EF95
 
@@ -47,11 +50,27 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
         have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if size <= 2 * SLICE:  # a table for one huge text is not kept
+        if size <= 4 * SLICE:  # a table for one huge text is not kept
             _tables[base] = have
     return have
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``powers``, modulo a prime (by doubling, as products must be reduced)."""
+    have = _tables.get(_PRIME)
+    if have is None or len(have[0]) < n:
+        p, size, out = np.uint64(_PRIME), max(n, 1 << 16), []
+        for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, _PRIME)):
+            table = np.ones(1, dtype=np.uint64)
+            while len(table) < size:
+                table = np.concatenate([table, table * np.uint64(pow(base, len(table), _PRIME)) % p])
+            out.append(table[:size])
+        have = out[0], out[1]
+        if size <= 4 * SLICE:
+            _tables[_PRIME] = have
+    return have
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -109,6 +128,17 @@ class Words:
         h = (self.sums[end] - self.sums[self.start]) * inverse[self.start]
         return mix(h + (end - self.start).astype(np.uint64))
 
+    def second_hash(self, first: np.ndarray) -> np.ndarray:
+        """Other hashes of the words, given the first ones."""
+        p, n = np.uint64(_PRIME), len(self.data)
+        up, down = prime_powers(n)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        for at in range(0, n, 1 << 24):  # sums of so many terms below 2**31 fit
+            end = min(n, at + (1 << 24))
+            sums[at + 1 : end + 1] = (np.cumsum((self.data[at:end].astype(np.uint64) + np.uint64(1)) * up[at:end] % p) + sums[at]) % p
+        h = (sums[self.end] + p - sums[self.start]) % p * down[self.start] % p
+        return mix(h << np.uint64(33) ^ mix(first ^ np.uint64(0xA0761D6478BD642F)) ^ h)
+
     def slice_bytes(self, i: int, j: int) -> bytes:
         """Words i up to j, joined by one space."""
         d, s, e = self.data, self.start, self.end

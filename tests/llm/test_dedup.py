@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.llm import components, exact_dedup, ngram_join, substring_dedup
+from orbweave.llm import components, exact_dedup, ngram_join, skew, substring_dedup
 
 
 def words(n, seed, size=40):
@@ -30,6 +30,22 @@ def test_exact_dedup_equals_definition(table):
         assert out[i]["text_sha256"] == hashlib.sha256(low(text).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("hot, weak", [(1_000, False), (1, False), (1, True)])
+def test_exact_dedup_judges_rows(table, monkeypatch, spark, tmp_path, hot, weak):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    rows = [(5, "one"), (5, "ONE"), (5, "two"), (4, "two"), (9, "two"), (None, "three"), (None, "three"), (None, "one"), (3, None), (2, ""), (7, "four")] + [(i, "many") for i in range(20, 30)]
+    table(rows).write.parquet(str(tmp_path / "docs"))
+    digest = (lambda t: F.substring(F.sha2(F.substring(t, 1, 1), 256), 1, 4)) if weak else exact_dedup.sha256_digest
+    for docs in (table(rows), spark.read.parquet(str(tmp_path / "docs"))):
+        out = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicate(docs, digest=digest).collect()]
+        same = lambda t: [i for i, x in rows if low(x) == low(t)]
+        want = [(i, max((j for j in same(t) if j is not None), default=None), len(same(t))) for i, t in rows]
+        assert sorted(map(str, out)) == sorted(str((*w, w[0] == w[1])) for w in want)
+    if not weak:
+        assert all("#" in r["keep_locator"] for r in exact_dedup.deduplicate(docs).collect())
+        assert sorted(str((r["doc_id"], low(r["text"]))) for r in exact_dedup.keep_one(docs).collect()) == sorted(map(str, [(5, "one"), (9, "two"), (None, "three"), (3, ""), (7, "four"), (29, "many")]))
+
+
 def test_exact_dedup_compares_bytes_on_equal_digests(table):
     weak = lambda text: F.substring(F.sha2(F.substring(text, 1, 1), 256), 1, 4)
     out = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.deduplicate(table([(1, "ab"), (2, "ac"), (3, "AB"), (4, "zz")]), digest=weak).collect()}
@@ -47,7 +63,7 @@ def test_exact_dedup_keeps_state_over_batches(spark, tmp_path, table):
 
 def test_exact_dedup_empty(table):
     assert exact_dedup.deduplicate(table([])).count() == 0
-    assert {r["doc_id"] for r in exact_dedup.keep_one(table(EXACT)).collect()} == {2, 4, 5, 6, 8, 9, 11, None}
+    assert {r["doc_id"] for r in exact_dedup.keep_one(table(EXACT)).collect()} == {2, 4, 5, 6, 8, 9, 11}
 
 
 def shingles(text, k):
@@ -112,16 +128,35 @@ def test_divide_skip_equals_counting():
 
 def test_occurrences_is_a_lower_bound():
     r = random.Random(6)
-    for _ in range(500):
-        n = r.randrange(1, 200)
-        both = r.randrange(1, n + 1)
-        x, y = set(range(n)), set(range(n - both, 2 * n - both - r.randrange(0, n - both + 1)))
+    linked = 0
+    for _ in range(3000):
+        m = r.randrange(1, 300)
+        n = r.randrange(max(1, 8 * m // 10), m + 1)
+        both = r.randrange(max(1, 8 * m // 10), n + 1)
+        x, y = set(range(n)), set(range(n - both, n - both + m))
         if 100 * len(x & y) < 80 * len(x | y):
             continue
+        linked += 1
         order = list(x | y)
         r.shuffle(order)
-        p = lambda s: {t for t in [t for t in order if t in s][: min(ngram_join.prefix_length(len(s)), len(s))]}
-        assert len(p(x) & p(y)) >= ngram_join.occurrences(len(x), len(y))
+        low = ngram_join.EDGES[int(ngram_join.band(n))]
+        short = {t for t in [t for t in order if t in x][: ngram_join.listed_prefix(n)]}
+        long = {t for t in [t for t in order if t in y][: ngram_join.asking_prefix(m, low)]}
+        need = ngram_join.occurrences(n, m)
+        assert len(short & long) >= need and (need >= 2 or m < 10)
+    assert linked > 300
+
+
+def test_sets_just_below_the_threshold_hardly_meet(spark, table, monkeypatch):
+    body = words(176, 1, 10_000)
+    rows = [(i, " ".join(body[:120] + [f"u{i}-{j}" for j in range(22)] + body[120:])) for i in range(300)]
+    asked, rays = [], []
+    star = ngram_join._rays
+    monkeypatch.setattr(ngram_join, "_rays", lambda *a: rays.append(star(*a)) or rays[-1])
+    search = ngram_join._search
+    monkeypatch.setattr(ngram_join, "_search", lambda rows, percent: asked.append(rows.count()) or search(rows, percent))
+    out = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(table(rows)).collect()}
+    assert out == {i: i for i in range(300)} and asked == [0] and rays[0].isEmpty()
 
 
 def test_components(spark):
@@ -133,11 +168,13 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("window", [2, 5, 8])
-def test_substring_dedup_equals_brute_force(table, window):
+def test_substring_dedup_equals_brute_force(table, monkeypatch, window):
     r = random.Random(window)
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
     rows = [(i, " ".join(words(r.randrange(0, 60), r.randrange(12), 6))) for i in range(40)] + [(50, None), (51, ""), (52, "a  b\tc\n" * 20), (53, "A b c " * 20)]
-    out = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.digest(substring_dedup.remove_repeated(table(rows), window)).collect()}
-    assert out == substring_dedup.brute_force(rows, window)
+    rows += [(5, rows[7][1]), (5, "short other text"), (5, None), (41, rows[3][1]), (41, rows[3][1]), (None, rows[3][1]), (None, "a b"), (-1, rows[8][1])]
+    out = [tuple(x) for x in substring_dedup.digest(substring_dedup.remove_repeated(table(rows), window)).collect()]
+    assert sorted(map(str, out)) == sorted(map(str, substring_dedup.brute_force(rows, window)))
 
 
 def test_substring_dedup_null_ids_and_empty(table):
