@@ -7,38 +7,47 @@ overlap is the whole shingle set and the necessary prefix is one shingle.
 
 1. The shingles of all windows are counted over all documents.
 2. Within each window they are ordered by rarity; the rarest is its prefix.
-3. Document shingles that equal a prefix are joined with it.  A candidate must
-   leave room before and behind it (positional and length bounds), then its
-   rolling hash, then its bytes must equal the window's.
+   Windows whose prefix stands in no document are done.
+3. Document shingles are joined with the prefixes, each with the words around it
+   that a window can reach.  A candidate must leave room before it (position) and
+   behind it (length), then its words must equal the window's.
 
-The benchmark side is held in blocks of at most ``block_windows`` windows, so
-what is broadcast has a fixed bound however large the benchmark is; every
-block is matched with all documents.
+Documents emit only shingles that pass a sieve: a bit table of fixed size of the
+shingles looked for, which loses none.  The sieve is the only thing sent to the
+executors; windows, counts and prefixes are Spark tables, so the benchmark may
+be of any size.  Prefixes that many documents hold meet them by broadcast where
+they are few; other joins are plain equi-joins that adaptive execution can split.
 
 Defined cases: null and empty texts have no words, are never hit and hit
-nothing; repeated document rows and rows without an id give a row each (for a
-benchmark of several blocks, documents get row keys); items with equal text are all named;
-items without an id hit as any other, count together as one item, and add no id
-to the hash of the items' ids; an empty benchmark leaves all documents clean; further columns are ignored.
+nothing; repeated document rows and rows without an id give a row each; items
+with equal text are all named; items without an id hit as any other, count
+together as one item, and add no id to the hash of the items' ids; an empty
+benchmark leaves all documents clean; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .rows import KEY, keyed
+from .scratch import materialize, release, small_batches
 from .text import PUNCT, Rolling, find_words, signed, text_slices, window_starts
 
 SHINGLE = 3
-MATCHES = f"{KEY} long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-_MATCHES_ARROW = pa.schema([(KEY, pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+SIEVE_BITS = 25
+SLOT_BITS = 18
+#: Prefixes of more document rows than this are hot; at most so many windows of
+#: hot prefixes are broadcast.
+HOT_ROWS = 1_000
+BROADCAST_WINDOWS = 50_000
 
 
 def item_windows(benchmark: DataFrame, window: int, text_col: str, item_col: str) -> DataFrame:
@@ -64,170 +73,157 @@ def item_windows(benchmark: DataFrame, window: int, text_col: str, item_col: str
     return rows.mapInArrow(cut, "words binary, size long, item string").groupBy("words", "size").agg(F.concat(known, unknown).alias("items"))
 
 
-def in_order(items) -> list:
-    """Item ids sorted, none last."""
-    return sorted(items, key=lambda x: (x is None, x or ""))
-
-
-class Block:
-    """A bounded number of windows with their shingles."""
-
-    def __init__(self, rows: list):
-        self.words = [bytes(r["words"]) for r in rows]
-        self.items = [in_order(r["items"]) for r in rows]
-        self.size = np.array([r["size"] for r in rows], dtype=np.int64)
-        self.hash = np.zeros(len(rows), dtype=np.uint64)
-        shingle, offset, owner, length = [], [], [], []
-        data = np.frombuffer(b" ".join(self.words), dtype=np.uint8)
-        ends = np.cumsum([len(w) + 1 for w in self.words])
-        words = find_words(data, np.array([0, *ends[:-1], len(data)], dtype=np.int64), PUNCT, lower=False)
-        rolling = Rolling(words.prefix_hash())
-        self.hash = rolling.at(words.first[:-1], self.size)
-        for i, size in enumerate(self.size.tolist()):
-            k = min(SHINGLE, size)
-            for o in range(size - k + 1):
-                shingle.append(words.first[i] + o), offset.append(o), owner.append(i), length.append(k)
-        self.length = np.array(length, dtype=np.int64)
-        self.shingle = rolling.at(np.array(shingle, dtype=np.int64), self.length)
-        self.offset, self.owner = np.array(offset, dtype=np.int64), np.array(owner, dtype=np.int64)
-
-    def tables(self) -> dict[int, "Lookup"]:
-        """A lookup of the distinct shingles of each length."""
-        return {int(k): Lookup(np.unique(self.shingle[self.length == k])) for k in np.unique(self.length)}
-
-    def choose_prefixes(self, frequency: dict[int, int]) -> "Prefixes":
-        """The rarest shingle of each window (ties: the smaller hash)."""
-        often = np.array([frequency.get(h, 0) for h in self.shingle.tolist()], dtype=np.int64)
-        order = np.lexsort((self.offset, self.shingle, often, self.owner))
-        first = order[np.unique(self.owner[order], return_index=True)[1]]
-        return Prefixes(self, first)
-
-
-class Lookup:
-    """Membership of 64-bit hashes in a sorted array, by a bit table first."""
-
-    def __init__(self, keys: np.ndarray, bits: int = 20):
-        self.keys, self.shift = keys, np.uint64(64 - bits)
-        self.table = np.zeros(1 << bits, dtype=bool)
-        self.table[(keys >> self.shift).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``hashes``, place in ``keys``) of those that are there."""
-        at = np.flatnonzero(self.table[(hashes >> self.shift).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        slot = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-        same = self.keys[slot] == hashes[at]
-        return at[same], slot[same]
-
-
-class Prefixes:
-    def __init__(self, block: Block, chosen: np.ndarray):
-        self.words, self.items, self.size, self.hash = block.words, block.items, block.size, block.hash
-        self.by_length = {}
-        for k in np.unique(block.length[chosen]):
-            rows = chosen[block.length[chosen] == k]
-            rows = rows[np.argsort(block.shingle[rows], kind="stable")]
-            keys, begin = np.unique(block.shingle[rows], return_index=True)
-            self.by_length[int(k)] = Lookup(keys), np.append(begin, len(rows)), block.owner[rows], block.offset[rows]
-
-    def occurrences(self, words, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of each verified occurrence."""
-        starts, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, (lookup, begin, owner, offset) in self.by_length.items():
-            text, place = window_starts(words.first, k)
-            hit, slot = lookup.find(rolling.at(place, k))
-            if not len(hit):
-                continue
-            n = begin[slot + 1] - begin[slot]
-            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[slot], n)
-            text, place = np.repeat(text[hit], n), np.repeat(place[hit], n)
-            own, at = owner[entry], place - offset[entry]
-            room = (at >= words.first[text]) & (at + self.size[own] <= words.first[text + 1])
-            at, own = at[room], own[room]
-            same = rolling.at(at, self.size[own]) == self.hash[own]
-            starts.append(at[same]), owners.append(own[same])
-        at, own = np.concatenate(starts), np.concatenate(owners)
-        good = np.fromiter((words.slice_bytes(a, a + self.size[o]) == self.words[o] for a, o in zip(at.tolist(), own.tolist())), dtype=bool, count=len(at))
-        return at[good], own[good]
-
-
-def _corpus_counts(docs: DataFrame, block: Block) -> dict[int, int]:
-    """How often each shingle of the block stands in the corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(block.tables())
+def _shingles(windows: DataFrame) -> DataFrame:
+    """(shingle, k, window, place) of all shingles of all windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, offsets in text_slices(batch.column(1)):
+                words = find_words(data, offsets, PUNCT, lower=False)
+                rolling, sizes = Rolling(words.prefix_hash()), np.diff(words.first)
+                for k in range(1, SHINGLE + 1):
+                    text, place = window_starts(words.first, k)
+                    keep = np.minimum(sizes, SHINGLE)[text] == k
+                    text, place = text[keep], place[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signed(rolling.at(place, k))), pa.array(np.full(len(text), k, np.int32)), batch.column(0).take(pa.array(lo + text)), pa.array((place - words.first[text]).astype(np.int32))],
+                        names=["shingle", "k", "window", "place"],
+                    )
+
+    return windows.select("window", "words").mapInArrow(cut, "shingle long, k int, window long, place int")
+
+
+class Sieve:
+    """A bit table of hashes: never misses one, and lets few others pass."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - (8 * len(self.bits)).bit_length() + 1)).astype(np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        at = self.places(hashes)
+        np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.places(hashes)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def sieve(shingles: DataFrame) -> Sieve:
+    """Of the column ``shingle``; collected are at most 2**SIEVE_BITS bits."""
+    width, size = 1 << (SLOT_BITS - 3), 1 << (SIEVE_BITS - 3)
+
+    def packed(table: np.ndarray) -> pa.RecordBatch:
+        slots = [i for i in range(len(table) // width) if table[i * width : (i + 1) * width].any()]
+        return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([zlib.compress(table[i * width : (i + 1) * width].tobytes(), 1) for i in slots], pa.binary())], names=["slot", "bits"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Sieve(np.zeros(size, dtype=np.uint8))
+        for batch in batches:
+            found.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield packed(found.bits)
+
+    def unite(rows) -> np.ndarray:
+        table = np.zeros(size, dtype=np.uint8)
+        for slot, bits in rows:
+            table[slot * width : (slot + 1) * width] |= np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+        return table
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(unite((slot, bits.as_py()) for batch in batches for slot, bits in zip(batch.column(0).to_pylist(), batch.column(1))))
+
+    schema = "slot int, bits binary"
+    slots = shingles.select("shingle").mapInArrow(mark, schema).repartition(max(1, size // width), "slot").mapInArrow(join, schema)
+    return Sieve(unite((r["slot"], r["bits"]) for r in slots.collect()))  # one row a slot
+
+
+def _corpus_counts(docs: DataFrame, found: Sieve, lengths: list[int]) -> DataFrame:
+    """(shingle, n): how often the shingles that pass stand in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 words = find_words(data, offsets, PUNCT, lower=True)
                 rolling = Rolling(words.prefix_hash())
-                for k, lookup in shared.value.items():
-                    _, slot = lookup.find(rolling.at(window_starts(words.first, k)[1], k))
-                    keys, n = np.unique(slot, return_counts=True)
-                    found.update(dict(zip(signed(lookup.keys)[keys].tolist(), n.tolist())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["shingle", "n"])
+                hashes = np.concatenate([rolling.at(window_starts(words.first, k)[1], k) for k in lengths])
+                keys, n = np.unique(hashes[shared.value.passes(hashes)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n)], names=["shingle", "n"])
+
+    return docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
-    rows = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-    return {r["shingle"] % (1 << 64): r["n"] for r in rows}
 
+_ROWS = f"{KEY} long, doc_id long, n_words long, places array<struct<shingle:long,k:int,pos:long,before:int,words:string>>"
 
-def _matches(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(prefixes)
+
+def _places(docs: DataFrame, found: Sieve, lengths: list[int], window: int) -> DataFrame:
+    """Each row with its number of words and the shingles that pass, with the
+    words that a window over them can reach."""
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("k", pa.int32()), ("pos", pa.int64()), ("before", pa.int32()), ("words", pa.string())]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = shared.value
         for batch in batches:
-            n = batch.num_rows
-            counts, spans, items = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
             for lo, hi, data, offsets in text_slices(batch.column(2)):
                 words = find_words(data, offsets, PUNCT, lower=True)
-                counts[lo:hi] = np.diff(words.first)
-                at, own = mine.occurrences(words, Rolling(words.prefix_hash()))
-                order = np.argsort(at, kind="stable")
-                at, own = at[order], own[order]
-                text = np.searchsorted(words.first, at, side="right") - 1
-                for k in np.unique(text).tolist():
-                    mask = text == k
-                    merged: list[list[int]] = []
-                    for a, o in zip((at[mask] - words.first[k]).tolist(), own[mask].tolist()):
-                        end = a + int(mine.size[o])
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], end)
-                        else:
-                            merged.append([a, end])
-                    spans[lo + k] = [{"start": a, "end": b} for a, b in merged]
-                    items[lo + k] = in_order({x for o in np.unique(own[mask]).tolist() for x in mine.items[o]})
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(spans, _MATCHES_ARROW.field("spans").type), pa.array(items, pa.list_(pa.string()))], schema=_MATCHES_ARROW)
-
-    return docs.mapInArrow(match, MATCHES)
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id", block_windows: int = 200_000) -> DataFrame:
+                rolling = Rolling(words.prefix_hash())
+                rows: list[list[dict]] = [[] for _ in range(hi - lo)]
+                for k in lengths:
+                    text, place = window_starts(words.first, k)
+                    hashes = rolling.at(place, k)
+                    hit = np.flatnonzero(shared.value.passes(hashes))
+                    text, place, hashes = text[hit], place[hit], signed(hashes[hit])
+                    begin, end = np.maximum(place - window + k, words.first[text]), np.minimum(place + window, words.first[text + 1])
+                    for t, p, h, a, b in zip(text.tolist(), place.tolist(), hashes.tolist(), begin.tolist(), end.tolist()):
+                        rows[t].append({"shingle": h, "k": k, "pos": p - int(words.first[t]), "before": p - a, "words": words.slice_bytes(a, b).decode()})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(rows, kind)], names=[KEY, "doc_id", "n_words", "places"])
+
+    return docs.mapInArrow(match, _ROWS)
+
+
+def _met(places: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The equi-join of document shingles with prefixes."""
+    hot = prefixes.where(F.col("n") > HOT_ROWS)
+    if not 0 < hot.count() <= BROADCAST_WINDOWS:
+        return places.join(prefixes, ["shingle", "k"])
+    keys = F.broadcast(hot.select("shingle", "k").distinct())
+    return places.join(F.broadcast(hot), ["shingle", "k"]).unionByName(places.join(keys, ["shingle", "k"], "left_anti").join(prefixes.where(F.col("n") <= HOT_ROWS), ["shingle", "k"]))
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """(key, spans): overlapping and touching spans of each row as one."""
+    by = W.partitionBy(KEY).orderBy("start", "end")
+    reached = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    new = hits.select(KEY, "start", "end").distinct().withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1))
+    islands = new.withColumn("island", F.sum("new").over(by)).groupBy(KEY, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return islands.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Per document: n_words, merged hit word spans, and the items found."""
-    windows = item_windows(benchmark, window, item_text_col, item_col)
-    blocks, rows = [], []
-    for row in windows.toLocalIterator():
-        rows.append(row)
-        if len(rows) == block_windows:
-            blocks.append(Block(rows))
-            rows = []
-    if rows or not blocks:
-        blocks.append(Block(rows))
-    docs, key = (keyed(docs), F.col(KEY)) if len(blocks) > 1 else (docs, F.lit(0).cast("long"))
-    docs = docs.select(key.alias(KEY), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = [_matches(docs, b.choose_prefixes(_corpus_counts(docs, b) if len(b.words) else {})) for b in blocks]
-    if len(parts) == 1:
-        return parts[0].drop(KEY)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    merge = """aggregate(array_sort(spans), cast(array() as array<struct<start:bigint,end:bigint>>), (acc, s) ->
-        if(size(acc) > 0 and s.start <= element_at(acc, -1).end,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(s.end, element_at(acc, -1).end)))),
-           concat(acc, array(s))))"""
-    grouped = out.groupBy(KEY, "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return grouped.drop(KEY).withColumn("spans", F.expr(merge))
+    small_batches(docs.sparkSession)
+    docs = keyed(docs).select(KEY, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    windows = materialize(item_windows(benchmark, window, item_text_col, item_col).withColumn("window", F.monotonically_increasing_id()), "item-windows")
+    shingles = materialize(_shingles(windows), "item-shingles")
+    lengths = sorted(r[0] for r in shingles.select("k").distinct().collect()) or [SHINGLE]  # at most SHINGLE numbers
+    counts = _corpus_counts(docs, sieve(shingles), lengths)
+    rarest = F.min(F.struct("n", "shingle", "place", "k")).alias("p")
+    first = shingles.join(counts, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0))).groupBy("window").agg(rarest).where("p.n > 0")
+    prefixes = materialize(first.select("window", "p.*").join(windows, "window"), "prefixes")
+    release(shingles)
+    rows = materialize(_places(docs, sieve(prefixes), lengths, window), "shingle-places")
+    places = rows.select(KEY, F.explode("places").alias("x")).select(KEY, "x.shingle", "x.k", "x.pos", "x.before", F.split("x.words", " ").alias("around"))
+    at = F.col("before") - F.col("place")
+    room = (at >= 0) & (at + F.col("size") <= F.size("around"))
+    same = F.array_join(F.slice("around", at + 1, F.col("size").cast("int")), " ") == F.col("words").cast("string")
+    start = F.col("pos") - F.col("place")
+    hits = _met(places, prefixes.select("shingle", "k", "place", "size", "words", "items", "n")).where(room).where(same)
+    hits = materialize(hits.select(KEY, start.alias("start"), (start + F.col("size")).alias("end"), "items"), "hits")
+    items = hits.groupBy(KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = rows.select(KEY, "doc_id", "n_words").join(_merged(hits).join(items, KEY), KEY, "left").drop(KEY)
+    return out.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -129,21 +129,22 @@ def brute_hits(docs, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_decontamination_equals_brute_force(table, spark, block):
+@pytest.mark.parametrize("hot, bits", [(1_000, 25), (0, 19)])
+def test_decontamination_equals_brute_force(table, spark, monkeypatch, hot, bits):
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", hot)
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", bits)
     r = random.Random(7)
     make = lambda n, size: " ".join(f"v{r.randrange(size)}" for _ in range(n))
     items = [(1, make(15, 9)), (2, "Ab, cd"), (10, make(12, 3)), (3, None), (4, ""), (5, make(15, 9)), (6, "ab cd")]
     docs = [(i, make(r.randrange(60), 3)) for i in range(20)] + [(30, "x " + items[0][1].upper() + "; y"), (31, None), (32, "AB.cd ab cd"), (33, "éab cd"), (34, (items[4 - 2][1] or "") * 3)]
-    found = decontaminate.find_contamination(table(docs), spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
+    found = decontaminate.find_contamination(table(docs), spark.createDataFrame(items, "item_id long, text string"))
     out = {x["doc_id"]: tuple(x)[1:5] for x in decontaminate.digest(found).collect()}
     assert out == brute_hits(docs, items)
 
 
-@pytest.mark.parametrize("block", [200_000, 1])
-def test_decontamination_items_without_id(table, spark, block):
+def test_decontamination_items_without_id(table, spark):
     items = [(None, "q r s"), (None, "t u"), (1, "q r s"), (2, "x y")]
-    found = decontaminate.find_contamination(table([(1, "a t u b q r s"), (2, "t u"), (3, "x y"), (4, "z")]), spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
+    found = decontaminate.find_contamination(table([(1, "a t u b q r s"), (2, "t u"), (3, "x y"), (4, "z")]), spark.createDataFrame(items, "item_id long, text string"))
     out = {x["doc_id"]: tuple(x)[2:] for x in decontaminate.digest(found).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert out == {1: (5, 2, sha("1"), True), 2: (2, 1, sha(""), True), 3: (2, 1, sha("2"), True), 4: (0, 0, sha(""), False)}
