@@ -6,11 +6,14 @@ whose words really are equal votes for the diagonal *place in the text - place
 in the template*.  Votes are counted by template and diagonal.  A diagonal with
 a vote at each place of the template is an exact occurrence.  Diagonals at most
 ``GAP`` apart are merged into one span, which tolerates words put in or left
-out; a span that covers at least ``COVER`` of its template gives the template's
-label.
+out.  A span is verified: of its votes only the longest sequence counts that
+goes forward in the text and in the template, so a place repeated or out of
+order adds nothing.  A span that covers at least ``COVER`` of its template's
+k-grams so gives the template's label.
 
-The templates are a fixed list, so their broadcast has a fixed size.  Only votes
-are shuffled, by row.  Everything is DataFrame functions.
+The templates are a fixed list, so their broadcast has a fixed size, and k-grams
+that no template has are dropped where the text is read.  Only votes are
+shuffled, by row.  Everything is DataFrame functions.
 
 Defined cases: null counts as empty; a text without words has no places, empty
 labels and score 0; overlapping places of different phrases all count; rows that
@@ -59,7 +62,6 @@ NOTICES = [
 #: ASCII bytes that separate words, as a class and as characters to trim.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TRIM = "".join(chr(c) for c in range(128) if not chr(c).isdigit() and not "a" <= chr(c) <= "z")
-_END = -1  # the template id of the mark after a text's last word
 
 
 def words_of(text: Column) -> Column:
@@ -75,40 +77,49 @@ def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices=NO
         words = text.split()
         rows += [(t, label, base, len(words), i, words[i], words[i + 1]) for i in range(len(words) - 1)]
     frame = spark.createDataFrame(rows, "template int, label string, base boolean, size int, tpos int, one string, two string")
-    mark = spark.createDataFrame([(_END, "", False, 0, 0, "", "")], frame.schema)
-    return frame.withColumn("gram", F.xxhash64("one", "two")).unionByName(mark.withColumn("gram", F.lit(_MARK)))
-
-
-_MARK = -(1 << 62) + 12345  # in the place of a hash; a real k-gram with it is told apart by its words
+    return frame.withColumn("gram", F.xxhash64("one", "two"))
 
 
 def votes(docs: DataFrame, grams: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Verified votes, and for each row one mark row with its length."""
+    """Verified votes with each row's number of words; a row without votes
+    comes with nulls."""
+    known = [r[0] for r in grams.select("gram").distinct().collect()]  # of the fixed templates
     texts = keyed(docs).select(KEY, F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    rolled = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    places = texts.select(KEY, "doc_id", "words", F.posexplode(F.concat(rolled, F.array(F.lit(_MARK)))).alias("pos", "gram"))
-    met = places.join(F.broadcast(grams), "gram")
-    same = (F.get("words", "pos") == F.col("one")) & (F.get("words", F.col("pos") + 1) == F.col("two"))
-    at_end = (F.col("template") == _END) & (F.col("pos") == F.size("words"))
-    return met.where(at_end | ((F.col("template") != _END) & same)).select(KEY, "doc_id", "pos", "template", "label", "base", "size", "tpos")
+    rolled = F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("one"), F.get("words", i + 1).alias("two"), F.xxhash64(w, F.get("words", i + 1)).alias("gram")))
+    places = texts.select(KEY, "doc_id", F.size("words").alias("n_words"), F.explode_outer(F.filter(rolled, lambda x: x["gram"].isin(known))).alias("x"))
+    met = places.select(KEY, "doc_id", "n_words", "x.*").join(F.broadcast(grams), ["gram", "one", "two"], "left")
+    return met.select(KEY, "doc_id", "n_words", "pos", "template", "label", "base", "size", "tpos")
+
+
+def in_order(found: Column, size: Column) -> Column:
+    """Length of the longest sequence of votes (pos, back) that ascends in
+    both places; ``back`` is the template's place from its end, so that of the
+    votes at one word at most one counts."""
+    best = F.array_repeat(F.lit(0), size)  # by template place: the longest sequence that ends there
+
+    def add(acc: Column, v: Column) -> Column:
+        at = size - 1 - v["back"]
+        longer = 1 + F.coalesce(F.array_max(F.slice(acc, 1, at)), F.lit(0))
+        return F.transform(acc, lambda x, i: F.when(i == at, F.greatest(x, longer)).otherwise(x))
+
+    return F.array_max(F.aggregate(F.array_sort(found), best, add))
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", phrases: dict[str, str] = PHRASES, notices=NOTICES) -> DataFrame:
     """Per row: doc_id, n_words, spans (template label, base, start, end, coverage)."""
     found = votes(docs, templates(docs.sparkSession, phrases, notices), text_col, id_col)
-    found = found.withColumn("diagonal", F.when(F.col("template") == _END, 0).otherwise(F.col("pos") - F.col("tpos")))
-    diagonals = found.groupBy(KEY, "doc_id", "template", "label", "base", "size", "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
-    )
-    by = W.partitionBy(KEY, "doc_id", "template").orderBy("diagonal")
+    about = [KEY, "doc_id", "n_words", "template", "label", "base", "size"]
+    vote = F.when(F.col("template").isNotNull(), F.struct("pos", (F.col("size") - 1 - F.col("tpos")).alias("back")))
+    diagonals = found.groupBy(*about, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_list(vote).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    by = W.partitionBy(KEY, "template").orderBy("diagonal")
     near = (F.col("diagonal") - F.lag("diagonal").over(by) <= GAP) & ~F.col("base") & (F.col("lo") - F.lag("hi").over(by) <= GAP + 1)
     bands = diagonals.withColumn("new", F.when(near, 0).otherwise(1)).withColumn("band", F.sum("new").over(by))
-    spans = bands.groupBy(KEY, "doc_id", "template", "label", "base", "size", "band").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    cover = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1))
-    row = F.struct("template", "label", "base", F.col("lo").cast("long").alias("start"), (F.col("hi") + 2).cast("long").alias("end"), cover.alias("cover"))
-    n_words = F.max(F.when(F.col("template") == _END, F.col("lo"))).cast("long")
-    good = F.when((F.col("template") != _END) & (cover >= F.when(F.col("base"), 1.0).otherwise(COVER)), row)
-    return spans.groupBy(KEY, "doc_id").agg(n_words.alias("n_words"), F.array_sort(F.collect_list(good)).alias("spans")).drop(KEY)
+    spans = bands.groupBy(*about, "band").agg(F.flatten(F.collect_list("votes")).alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    cover = in_order(F.col("votes"), F.col("size")) / (F.col("size") - 1)
+    spans = spans.withColumn("cover", F.when(F.col("template").isNotNull(), cover))
+    row = F.struct("template", "label", "base", F.col("lo").cast("long").alias("start"), (F.col("hi") + 2).cast("long").alias("end"), "cover")
+    good = F.when(F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(COVER), row)
+    return spans.groupBy(KEY, "doc_id", "n_words").agg(F.array_sort(F.collect_list(good)).alias("spans")).select("doc_id", F.col("n_words").cast("long").alias("n_words"), "spans")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -177,6 +178,50 @@ def test_license_base_equals_brute_force(table):
         assert labels <= set(got["labels"].split(",")) and 0 <= got["score"] <= 1
 
 
+def brute_license(text):
+    """(labels, score) by the definition: places of word pairs, diagonals, bands,
+    the longest ascending sequence of places."""
+    w, labels, score = WORD.findall(low(text)), set(), 0.0
+    for label, words, base in [(v, k.split(), True) for k, v in license_scan.PHRASES.items()] + [(v, k.split(), False) for v, k in license_scan.NOTICES]:
+        diagonals = {}
+        for p in range(len(w) - 1):
+            for t in range(len(words) - 1):
+                if w[p : p + 2] == words[t : t + 2]:
+                    diagonals.setdefault(p - t, []).append((p, t))
+        bands = []
+        for d in sorted(diagonals):
+            v = diagonals[d]
+            if bands and not base and d - bands[-1][0] <= license_scan.GAP and min(v)[0] - bands[-1][1] <= license_scan.GAP + 1:
+                bands[-1] = (d, max(v)[0], bands[-1][2] + v)
+            else:
+                bands.append((d, max(v)[0], list(v)))
+        for _, _, v in bands:
+            best = {}
+            for p, t in sorted(v):
+                best[p, t] = 1 + max((n for (a, b), n in best.items() if a < p and b < t), default=0)
+            cover = max(best.values()) / (len(words) - 1)
+            if cover >= (1.0 if base else license_scan.COVER):
+                labels.add(label)
+                score = max(score, cover)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_equal_brute_force(table):
+    r = random.Random(18)
+    texts = ["all rights all rights", "all rights reserved", "rights reserved all rights", "licensed under cc by", "licensed licensed under cc by 4 0 0", None]
+    for _, notice in license_scan.NOTICES:
+        for _ in range(4):
+            w = notice.split()
+            for _ in range(r.randrange(7)):
+                k = r.randrange(len(w))
+                w[k : k + r.randrange(3)] = r.choice([[], ["x"], ["x", "y"], [r.choice(w)], w[k : k + 2] * 2])
+                w = w or ["x"]
+            texts.append(" ".join(["x"] * r.randrange(3) + w + notice.split()[: r.randrange(4)]))
+    texts.append("all rights reserved all rights x reserved " * 40)
+    out = {x["doc_id"]: (x["labels"], round(x["score"], 9)) for x in license_scan.digest(license_scan.scan(table(list(enumerate(texts))))).collect()}
+    assert out[0] == ("", 0.0) and out == {i: (a, round(b, 9)) for i, (a, b) in ((i, brute_license(t)) for i, t in enumerate(texts))}
+
+
 def test_license_spans_survive_edits(table):
     notice = dict((b, a) for a, b in license_scan.NOTICES)
     bsd = next(t for t, label in notice.items() if label == "bsd")
@@ -199,13 +244,13 @@ def brute_rule(url, rules):
 
 
 def test_urls_equal_brute_force(spark, table):
-    hosts = ["a.Example.COM", "example.com", "notexample.com", "x.net", "example.net", "y.example.net", "q.org", "com", "", "a.cheap-pills.example.org"]
+    hosts = ["a.Example.COM", "example.com", "notexample.com", "x.net", "example.net", "y.example.net", "q.org", "com", "", "a.cheap-pills.example.org", "pillsbury.example.io", "a-poker.io"]
     paths = ["/en/7", "/en/71?x=/de/", "/de/8#y", "/de/", "/es/", "/ES/", "", "/en", "?/en/", "/en/8\n"]
     rows = list(enumerate([f"https://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/en/", "://com/en/", "a://b://com/en/"]))
     out = {r["page_id"]: r for r in url_filter.judge(table(rows, "page_id long, url string"), url_filter.rules_frame(spark)).collect()}
     for i, url in rows:
         host, path, (rule, verdict) = brute_rule(url, url_filter.RULES)
-        own = "block" if "cheap-pills" in host else "allow"
+        own = "block" if {"pills", "poker"} & set(re.split("[.-]", host)) else "allow"
         assert (out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"]) == (host, path, rule, verdict or own), url
 
 
@@ -284,6 +329,33 @@ def test_language_held_out_accuracy(table):
     assert {x["lang_pred"] for x in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_equals_exact_counting(table):
+    r = random.Random(19)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randrange(1, 9)))
+    kinds = {"aa": "abcdef", "bb": "cdefgh", "cc": "efghàé"}
+    rows = [(i, " ".join(word(kinds[k]) + r.choice(["", ".", "1"]) for _ in range(r.randrange(1, 40))), k) for i, k in enumerate(list(kinds) * 40)]
+    rows += [(5, "hhh ggg hhh", "bb"), (5, "fff", None)]
+    docs = table(rows, "doc_id long, text string, lang string")
+    out = language_id.held_out(F.col("doc_id"), 3, 1)
+
+    def parts(text):
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for n in language_id.ORDERS:
+                for k in range(len(w) + 3 - n):
+                    yield (" " + w + " ")[k : k + n]
+
+    train = [x for x in rows if x[2] and zlib.crc32(str(x[0]).encode()) % 3 != 1]
+    known = {k: {g for x in train if x[2] == k for g in parts(x[1])} for k in kinds}
+    right = total = 0
+    for x in language_id.identify(docs, language_id.fit(docs, ~out)).collect():
+        for text in {t for i, t, _ in rows if i == x["doc_id"]} if x["doc_id"] != 5 else ():
+            hits = sorted((sum(g in known[k] for g in parts(text)), k) for k in kinds)
+            if hits[-1][0] > hits[-2][0] + 1:
+                total, right = total + 1, right + (hits[-1][1] == x["lang_pred"])
+                assert abs(x["score"] - hits[-1][0] / sum(h for h, _ in hits)) < 0.02
+    assert total > 60 and right == total
+
+
 def test_language_filter_has_no_false_negatives():
     keys = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     model = language_id.Model([f"l{i}" for i in range(70)], {f"l{i}": keys[i * 50 : i * 50 + 50] for i in range(70)})
