@@ -120,6 +120,6 @@ ORACLE = {
         m AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v
               FROM u JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id)
         SELECT u.page_id, u.host, u.path, m.rule,
-               coalesce(m.v, CASE WHEN list_has_any(string_split(u.host, '.'), {url_filter.LISTED_LABELS}) THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(m.v, CASE WHEN list_has_any(string_split(replace(u.host, '-', '.'), '.'), {url_filter.LISTED_WORDS}) THEN 'block' ELSE 'allow' END) AS verdict
         FROM u LEFT JOIN m USING (page_id)""",
 }

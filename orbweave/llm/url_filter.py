@@ -8,14 +8,15 @@ border, joined with a beginning of its path of a length that some rule has.  The
 keys are tested against a blocked Bloom filter of all rules (one block of 256
 bits for each key, eight bits set in it); a block is fetched by an equi-join on
 its number.  What passes is a possible hit and goes to an exact hash join with
-the rules, which removes false positives.  The method's own list of host labels
-goes the same way as a second kind of key, the single labels of a host; its hits
-set the verdict where no rule fits, and name no rule.
+the rules, which removes false positives.  The method's own list of words goes
+the same way as a second kind of key, the words of a host's labels; its hits set
+the verdict where no rule fits, and name no rule.
 
-Everything is DataFrame functions.  The filter's size is a parameter, so the
-broadcast of its blocks has a fixed bound; the rules themselves are joined by
-hash and only broadcast by Spark's own size check.  The lengths of rule paths
-are bounded by the longest path of a rule.
+Everything is DataFrame functions.  The filter has a block for ``PER_BLOCK``
+listed keys; blocks and rules are broadcast up to a checked number and
+otherwise joined by hash.  Only possible hits are shuffled, and pages meet their
+results by a key of their own, so a popular URL loads no single task.  The
+lengths of rule paths are bounded by the longest path of a rule.
 
 Canonical form: the host lower-cased in A-Z, the path as it stands; query and
 fragment are cut.  Defined cases: a null URL or one without ``://`` has an empty
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import LOWER, UPPER
+from .rows import KEY, keyed
 
 #: The rules of the contract, then the list of the method's own.
 RULES = [
@@ -39,9 +41,13 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Host labels that mark unwanted sites; rules of the contract go before them.
-LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-BLOCKS = 1024
+#: Words that mark unwanted sites where they stand in a host as a label or a
+#: hyphenated part of one; rules of the contract go before them.
+LISTED_WORDS = "adult ads adserver bet bets betting casino gambling malware payday phishing pills poker porn sex spam tracker viagra warez xxx".split()
+PER_BLOCK = 16
+#: Blocks of the filter and rules that are broadcast at most.
+BROADCAST_BLOCKS = 1 << 16
+BROADCAST_RULES = 100_000
 WORDS = 4
 BITS = 8
 
@@ -72,41 +78,50 @@ def _masks(key: Column) -> list[Column]:
 
 
 #: Kinds of keys.
-RULE, LABEL = 0, 1
+RULE, WORD = 0, 1
 
 
-def build_filter(rules: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def filter_blocks(keys: int) -> int:
+    """A power of two, so that about half of a block's bits are set at most."""
+    return max(64, 1 << (max(keys, 1) // PER_BLOCK).bit_length())
+
+
+def build_filter(rules: DataFrame, blocks: int) -> DataFrame:
     """Blocked Bloom filter of keys (host, path): at most ``blocks`` rows (block, w0..w3)."""
     key = F.concat("host", "path")
     masks = rules.select(_place(key, blocks).alias("block"), *(m.alias(f"w{i}") for i, m in enumerate(_masks(key))))
     return masks.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
 
 
-def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id", listed_labels: list[str] = LISTED_LABELS, default: str = "allow", blocks: int = BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id", listed_words: list[str] = LISTED_WORDS, default: str = "allow", blocks: int | None = None) -> DataFrame:
     """Per page: host, path, rule, verdict."""
     rules = rules.where("host <> '' and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    own = rules.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(listed_words)], "host string")
+    listed = rules.select(F.lit(RULE).alias("kind"), "host", "path", "verdict").unionByName(own.select(F.lit(WORD).alias("kind"), "host", F.lit("").alias("path"), F.lit("block").alias("verdict")))
+    n_listed = listed.count()
+    blocks = blocks or filter_blocks(n_listed)
+    small = lambda frame, ok: F.broadcast(frame) if ok else frame
+
     host, path = host_and_path(F.col(url_col).cast("string"))
-    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    urls = keyed(pages).select(KEY, F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.struct(s.alias("h"), n.alias("n")))))
-    own = rules.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(listed_labels)], "host string")
-    listed = rules.select(F.lit(RULE).alias("kind"), "host", "path", "verdict").unionByName(own.select(F.lit(LABEL).alias("kind"), "host", F.lit("").alias("path"), F.lit("block").alias("verdict")))
-    keys = F.transform(keys, lambda k: F.struct(F.lit(RULE).alias("kind"), k["h"].alias("h"), k["n"].alias("n")))
-    if listed_labels:
-        keys = F.concat(keys, F.transform(F.array_distinct(labels), lambda x: F.struct(F.lit(LABEL).alias("kind"), x.alias("h"), F.lit(0).alias("n"))))
-    tried = urls.select("host", "path", F.explode(keys).alias("k")).select("host", "path", F.col("k.kind").alias("kind"), F.col("k.h").alias("rule_host"), F.expr("left(path, k.n)").alias("rule_path"))
+    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda n: F.struct(F.lit(RULE).alias("kind"), s.alias("h"), n.alias("n")))))
+    if listed_words:
+        words = F.array_distinct(F.split("host", r"[.\-]"))
+        keys = F.concat(keys, F.transform(words, lambda x: F.struct(F.lit(WORD).alias("kind"), x.alias("h"), F.lit(0).alias("n"))))
+    tried = urls.select(KEY, "path", F.explode(keys).alias("k")).select(KEY, F.col("k.kind").alias("kind"), F.col("k.h").alias("rule_host"), F.expr("left(path, k.n)").alias("rule_path"))
     key = F.concat("rule_host", "rule_path")
-    possible = tried.withColumn("block", _place(key, blocks)).join(F.broadcast(build_filter(listed, blocks)), "block")
+    possible = tried.withColumn("block", _place(key, blocks)).join(small(build_filter(listed, blocks), blocks <= BROADCAST_BLOCKS), "block")
     for i, mask in enumerate(_masks(key)):
         possible = possible.where(F.col(f"w{i}").bitwiseAND(mask) == mask)
     listed = listed.withColumnsRenamed({"host": "rule_host", "path": "rule_path"})
-    hits = possible.select("host", "path", "kind", "rule_host", "rule_path").join(listed, ["kind", "rule_host", "rule_path"])
+    hits = possible.select(KEY, "kind", "rule_host", "rule_path").join(small(listed, n_listed <= BROADCAST_RULES), ["kind", "rule_host", "rule_path"])
     rule = F.concat("rule_host", "rule_path")
     best = F.max(F.when(F.col("kind") == RULE, F.struct(F.length(rule).alias("length"), rule.alias("rule"), "verdict")))
-    by_label = F.max(F.when(F.col("kind") == LABEL, F.col("verdict")))
-    found = hits.groupBy("host", "path").agg(best.alias("best"), by_label.alias("own"))
+    by_word = F.max(F.when(F.col("kind") == WORD, F.col("verdict")))
+    found = hits.groupBy(KEY).agg(best.alias("best"), by_word.alias("own"))
     verdict = F.coalesce("best.verdict", "own", F.lit(default))
-    return urls.join(found, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    return urls.join(found, KEY, "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
