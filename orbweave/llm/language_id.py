@@ -12,8 +12,8 @@ pass with probability p = f**HASHES, so of n grams with h hits
 (h - n p) / (1 - p) are taken as real.  The largest corrected count decides; the
 score is its share of all corrected counts.
 
-The labelled sample is bounded (``SAMPLE`` documents per language, chosen by a
-hash of the id, whole texts); the model's size is bounded by the number of
+The labelled sample is bounded (``SAMPLE`` documents of each of the ``LANGUAGES``
+most frequent languages, chosen by a hash of the id, whole texts); the model's size is bounded by the number of
 slots.  Prediction reads every whole text in slices of bounded size and needs no
 shuffle.
 
@@ -22,7 +22,8 @@ letters of no learned language give the most frequent training language with
 score 0; ties go to the more frequent training language, then by name (languages
 are counted over all training rows, not over the sample); without
 any labelled text all results are ``und``; null labels are not learned from;
-repeated rows give a row each; extra columns are ignored.
+repeated rows give a row each, and rows that repeat an id teach only their own
+texts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import KEY, keyed
+from .scratch import lean, small_batches
 from .text import mix, signed
 
 ORDERS = (3, 4)
@@ -42,6 +45,7 @@ PER_LANGUAGE = 20_000
 SLOT_BITS = 20
 HASHES = 3
 SAMPLE = 1_500
+LANGUAGES = 256
 SLICE_CHARS = 1 << 19
 _BORDER = 32
 _letters: np.ndarray | None = None
@@ -108,11 +112,20 @@ def grams(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tupl
     return some, out
 
 
-def _sample(docs: DataFrame, train: Column, sample: int) -> DataFrame:
-    """At most ``sample`` labelled documents per language."""
-    ids = docs.where(train & F.col("lang").isNotNull()).select("doc_id", "lang")
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return ids.withColumn("k", F.row_number().over(by)).where(F.col("k") <= sample).select("doc_id", "lang")
+def _sample(docs: DataFrame, train: Column, frequent: dict[str, int], sample: int) -> DataFrame:
+    """(key, lang) of at most ``sample`` labelled rows per language, those with
+    the least hashes of their ids.
+
+    A bound on the hash leaves about twice as many rows before they are ranked,
+    so no language's rows meet in one task.
+    """
+    spark = docs.sparkSession
+    bounds = spark.createDataFrame([(k, min(1.0, (2 * sample + 200) / n)) for k, n in frequent.items()], "lang string, bound double")
+    order = F.xxhash64("doc_id")
+    place = F.pmod(order, F.lit(1 << 50)) / F.lit(float(1 << 50))
+    ids = docs.where(train).select(KEY, "lang", order.alias("order"), place.alias("place")).join(F.broadcast(bounds), "lang").where("place <= bound")
+    by = W.partitionBy("lang").orderBy("order", KEY)
+    return ids.withColumn("k", F.row_number().over(by)).where(F.col("k") <= sample).select(KEY, "lang")
 
 
 class Model:
@@ -166,10 +179,14 @@ def slots_of(hashes: np.ndarray) -> Iterator[np.ndarray]:
         yield ((hashes >> np.uint64(k * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
-def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Learn from ``docs`` (doc_id, text, lang) where ``train`` holds."""
-    chosen = _sample(docs, train, sample)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample x languages ids
+    small_batches(docs.sparkSession)
+    docs = keyed(docs)
+    rows = docs.where(train & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    frequent = {r["lang"]: r["n"] for r in rows.collect()}
+    chosen = _sample(docs, train, frequent, sample)
+    labelled = docs.select(KEY, "text").join(F.broadcast(chosen), KEY)  # sample x languages keys
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,16 +198,16 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, per_language: int
                     keys, n = np.unique(hashes[languages[lo + text] == name], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(signed(keys)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    counted = labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = labelled.select("text", "lang").mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= per_language)
     rows = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # per_language grams each
-    frequent = {r["lang"]: r["n"] for r in docs.where(train & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = {r["lang"]: np.array(r["grams"], dtype=np.int64).view(np.uint64) for r in rows}
     return Model(sorted(found, key=lambda x: (-frequent[x], x)), found)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds nothing but reads ``doc_id`` and ``text``: doc_id, lang_pred, score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,4 +215,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = shared.value.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
