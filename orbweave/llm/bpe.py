@@ -46,7 +46,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import lean, small_batches
 
 #: The split pattern of the byte-level vocabularies (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,8 +56,8 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 _LATIN = re.compile(rf"[\t-\r -~{_LETTERS}]*")
 _LATIN_PATTERN = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _SPACE_PAIRS = [a + " " for a in "\t\n\v\f\r "]
-CACHE_PIECES = 200_000
-CACHE_PAIRS = 300_000
+CACHE_PIECES = 100_000
+CACHE_PAIRS = 200_000
 CACHED_LENGTH = 64
 #: Characters of a text, and bytes of a piece, taken at a time.
 CHUNK = 1 << 16
@@ -324,16 +324,10 @@ class Decoder:
         self._state.reset()
 
 
-_loaded: dict[str, tuple[Transducer, Decoder]] = {}
-
-
 def _machines(config: bytes) -> tuple[Transducer, Decoder]:
-    """One pair for each worker process and vocabulary."""
-    key = hashlib.sha256(config).hexdigest()
-    if key not in _loaded:
-        vocab = Vocabulary(json.loads(config))
-        _loaded[key] = Transducer(vocab), Decoder(vocab)
-    return _loaded[key]
+    """For one partition; a worker that is used again keeps none of it."""
+    vocab = Vocabulary(json.loads(config))
+    return Transducer(vocab), Decoder(vocab)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str | bytes, text_col: str = "text", id_col: str = "doc_id", keep: bool = False) -> DataFrame:
@@ -382,4 +376,4 @@ def encode_decode(docs: DataFrame, vocabulary: str | bytes, text_col: str = "tex
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), ddl)

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .rows import KEY, keyed
-from .scratch import materialize, release, small_batches
+from .scratch import lean, materialize, release, small_batches
 from .text import PUNCT, Rolling, find_words, signed, text_slices, window_starts
 
 SHINGLE = 3
@@ -70,7 +70,7 @@ def item_windows(benchmark: DataFrame, window: int, text_col: str, item_col: str
 
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     known, unknown = F.collect_set("item"), F.when(F.bool_or(F.col("item").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
-    return rows.mapInArrow(cut, "words binary, size long, item string").groupBy("words", "size").agg(F.concat(known, unknown).alias("items"))
+    return rows.mapInArrow(lean(cut), "words binary, size long, item string").groupBy("words", "size").agg(F.concat(known, unknown).alias("items"))
 
 
 def _shingles(windows: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def _shingles(windows: DataFrame) -> DataFrame:
                         names=["shingle", "k", "window", "place"],
                     )
 
-    return windows.select("window", "words").mapInArrow(cut, "shingle long, k int, window long, place int")
+    return windows.select("window", "words").mapInArrow(lean(cut), "shingle long, k int, window long, place int")
 
 
 class Sieve:
@@ -135,7 +135,7 @@ def sieve(shingles: DataFrame) -> Sieve:
         yield packed(unite((slot, bits.as_py()) for batch in batches for slot, bits in zip(batch.column(0).to_pylist(), batch.column(1))))
 
     schema = "slot int, bits binary"
-    slots = shingles.select("shingle").mapInArrow(mark, schema).repartition(max(1, size // width), "slot").mapInArrow(join, schema)
+    slots = shingles.select("shingle").mapInArrow(lean(mark), schema).repartition(max(1, size // width), "slot").mapInArrow(lean(join), schema)
     return Sieve(unite((r["slot"], r["bits"]) for r in slots.collect()))  # one row a slot
 
 
@@ -152,7 +152,7 @@ def _corpus_counts(docs: DataFrame, found: Sieve, lengths: list[int]) -> DataFra
                 keys, n = np.unique(hashes[shared.value.passes(hashes)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n)], names=["shingle", "n"])
 
-    return docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 _ROWS = f"{KEY} long, doc_id long, n_words long, places array<struct<shingle:long,k:int,pos:long,before:int,words:string>>"
@@ -180,7 +180,7 @@ def _places(docs: DataFrame, found: Sieve, lengths: list[int], window: int) -> D
                         rows[t].append({"shingle": h, "k": k, "pos": p - int(words.first[t]), "before": p - a, "words": words.slice_bytes(a, b).decode()})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(rows, kind)], names=[KEY, "doc_id", "n_words", "places"])
 
-    return docs.mapInArrow(match, _ROWS)
+    return docs.mapInArrow(lean(match), _ROWS)
 
 
 def _met(places: DataFrame, prefixes: DataFrame) -> DataFrame:

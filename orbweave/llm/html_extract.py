@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_pages import labelled_pages
+from .scratch import lean, small_batches
 
 THRESHOLD = 0.5
 #: Element kinds.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = set("head script style noscript template iframe svg canvas object textarea select button option title audio video math".split())
 RAW = set("script style textarea title iframe noscript template svg select button".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -260,6 +260,7 @@ def fit(pages: Iterable[str] | None = None) -> Model:
 
 def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or fit())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,4 +270,4 @@ def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html"
                 texts = [main_text(x.as_py() or "", shared.value) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rows import KEY, keyed, one_of_each, without
-from .scratch import materialize, release, small_batches
+from .scratch import lean, materialize, release, small_batches
 from .skew import join_totals
 from .text import SPACE, Rolling, find_words, mix, signed, text_slices, window_starts
 
@@ -132,7 +132,7 @@ def frequency_sketch(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
             levels = np.minimum(8 * np.log2(1.0 + part), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())], names=["slot", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "slot int, counts binary").repartition(size // width, "slot").mapInArrow(add, "slot int, counts binary")
+    parts = docs.select("text").mapInArrow(lean(count), "slot int, counts binary").repartition(size // width, "slot").mapInArrow(lean(add), "slot int, counts binary")
     out = np.zeros(size, dtype=np.uint8)
     for row in parts.collect():  # fixed size: one row a slot
         out[row["slot"] * width : (row["slot"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint8)
@@ -195,7 +195,7 @@ def sketches(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT, k: int
                 bands = [pa.array(band(np.maximum(x, 1)).astype(np.int32)) for x in (n, least)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(signed(h)) for h in halves), *bands, lists], names=["doc_id", "n", "a", "b", "band", "low", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long, band int, low int, prefix array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, a long, b long, band int, low int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 first = np.searchsorted(text, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(signed(hashes)))], names=["id", "set"])
 
-    return docs.mapInArrow(run, "id long, set array<long>")
+    return docs.mapInArrow(lean(run), "id long, set array<long>")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
 
     left = sets.select(F.col("id").alias("u"), F.col("set").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("set").alias("y"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(lean(run), "u long, v long")
 
 
 def _heap_merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +311,7 @@ def _search(asked: DataFrame, percent: int) -> DataFrame:
                 vs += got.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return asked.mapInArrow(run, "u long, v long")
+    return asked.mapInArrow(lean(run), "u long, v long")
 
 
 _POST = ["token", "id", "n", "pos", "band", "low"]

@@ -7,9 +7,12 @@ leaves it unset gets a temporary folder; any other session must set it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
@@ -41,6 +44,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
+def lean(run):
+    """``run`` of mapInArrow, giving freed memory back to the system at the end.
+
+    Workers are used again, and Arrow's pool and the C heap would keep the most
+    that any partition of any operator needed.
+    """
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return trimmed
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orbweave/{name}-{uuid.uuid4().hex}"
 

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import KEY, keyed
-from .scratch import materialize, release
+from .scratch import lean, materialize, release
 from .skew import join_totals
 from .text import SPACE, Rolling, find_words, signed, take, text_slices, window_starts
 
@@ -86,7 +86,7 @@ def _anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(low[new])), take(batch.column(0), lo + text[new])], names=["anchor", KEY])
 
-    return docs.select(KEY, "text").mapInArrow(emit, f"anchor long, {KEY} long")
+    return docs.select(KEY, "text").mapInArrow(lean(emit), f"anchor long, {KEY} long")
 
 
 def _window_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _window_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     names=["hash", "other", KEY, "doc_id", "pos"],
                 )
 
-    return docs.mapInArrow(emit, f"hash long, other long, {KEY} long, doc_id long, pos int")
+    return docs.mapInArrow(lean(emit), f"hash long, other long, {KEY} long, doc_id long, pos int")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.string())], schema=schema)
 
-    return docs.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return docs.mapInArrow(lean(cut), "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import lean, small_batches
 from .text import PUNCT, SPACE, find_words, signed, text_slices
 
 SAMPLE = 4_000
@@ -251,7 +252,7 @@ def _key_counts(rows: DataFrame) -> list:
                 table = np.bincount(at * 4 + kind, minlength=4 * len(keys)).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), *(pa.array(table[:, k].astype(np.int64)) for k in range(4))], names=["key", "n0", "n1", "t0", "t1"])
 
-    counted = rows.mapInArrow(count, "key long, n0 long, n1 long, t0 long, t1 long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "t0", "t1")))
+    counted = rows.mapInArrow(lean(count), "key long, n0 long, n1 long, t0 long, t1 long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "t0", "t1")))
     marking = F.col("t0") + F.col("t1") > 2 * (F.col("n0") + F.col("n1"))
     return counted.where((F.col("t0") + F.col("t1") >= 3) & marking).orderBy(F.desc(F.col("t0") + F.col("t1")), "key").limit(LEXICON).collect()
 
@@ -266,6 +267,7 @@ def _pick(counts: np.ndarray, columns: tuple[tuple[int, ...], tuple[int, ...]],
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     """Learn from labelled documents where ``train`` (of ``labels``) holds."""
+    small_batches(docs.sparkSession)
     known = _known(labels, train)
     rows = _training_rows(docs, known, sample)
     there = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -288,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
                 x = np.where(half[lo:hi, None] == 0, two[1], two[0])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "half", "x"])
 
-    table = rows.mapInArrow(features, "toxic int, half int, x array<double>").collect()  # 2 x sample rows
+    table = rows.mapInArrow(lean(features), "toxic int, half int, x array<double>").collect()  # 2 x sample rows
     y = np.array([float(r["toxic"] == 1) for r in table])
     total = there.get(0, 0) + there.get(1, 0)
     share = there.get(1, 0) / total if total else 0.0
@@ -320,4 +322,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [shared.value.score(data, offsets) for _, _, data, offsets in text_slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
