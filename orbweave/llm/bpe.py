@@ -56,8 +56,8 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 _LATIN = re.compile(rf"[\t-\r -~{_LETTERS}]*")
 _LATIN_PATTERN = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 _SPACE_PAIRS = [a + " " for a in "\t\n\v\f\r "]
-CACHE_PIECES = 100_000
-CACHE_PAIRS = 200_000
+CACHE_PIECES = 300_000
+CACHE_PAIRS = 400_000
 CACHED_LENGTH = 64
 #: Characters of a text, and bytes of a piece, taken at a time.
 CHUNK = 1 << 16
