@@ -7,8 +7,6 @@ expressions.  Distances are metres on a sphere.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +64,46 @@ def segments(ring: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), lambda i: F.struct(F.get(ring, i - 1).alias("a"), F.coalesce(F.get(ring, i), F.get(ring, i - 1)).alias("b")))
 
 
+def segment_columns(a: Column, b: Column) -> dict[str, Column]:
+    """What ``segment_pair_m`` needs of a segment, computed once for each."""
+    va, vb = unit_vector(a["lng"], a["lat"]), unit_vector(b["lng"], b["lat"])
+    n = _cross(va, vb)
+    out = {f"{name}{c}": x for name, v in (("n", n), ("u", _cross(n, va)), ("w", _cross(vb, n))) for c, x in zip("xyz", v)}
+    for name, end in (("a", a), ("b", b)):
+        out |= {f"{name}_lng": end["lng"], f"{name}_lat": end["lat"], f"{name}_rlng": F.radians(end["lng"]), f"{name}_rlat": F.radians(end["lat"]), f"{name}_cos": F.cos(F.radians(end["lat"]))}
+    return out
+
+
+def point_columns(lng: Column, lat: Column) -> dict[str, Column]:
+    """What the pair distances need of a query point."""
+    return {"q_rlng": F.radians(lng), "q_rlat": F.radians(lat), "q_cos": F.cos(F.radians(lat))} | {f"p{c}": x for c, x in zip("xyz", unit_vector(lng, lat))}
+
+
+def pair_haversine_m(end: str = "a", radius: float = EARTH_RADIUS) -> Column:
+    """``haversine_m`` of a query point and a segment's end, from their columns."""
+    a = F.sin((F.col(f"{end}_rlat") - F.col("q_rlat")) / 2)
+    b = F.sin((F.col(f"{end}_rlng") - F.col("q_rlng")) / 2)
+    h = a * a + F.col("q_cos") * F.col(f"{end}_cos") * b * b
+    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+def segment_pair_m(radius: float = EARTH_RADIUS) -> Column:
+    """``segment_m`` of a query point and a segment, from their columns."""
+    v = lambda name: [F.col(f"{name}{c}") for c in "xyz"]
+    p, n = v("p"), v("n")
+    within = (_dot(v("u"), p) >= 0) & (_dot(v("w"), p) >= 0) & (_dot(n, n) > 0)
+    c = _cross(n, p)
+    arc = F.lit(radius) * F.atan2(F.abs(_dot(n, p)), F.sqrt(_dot(c, c)))
+    return F.when(within, arc).otherwise(F.least(pair_haversine_m("a", radius), pair_haversine_m("b", radius)))
+
+
+def crossing(lng: Column, lat: Column) -> Column:
+    """1 if the segment's columns cross the parallel east of the point."""
+    spans = (F.col("a_lat") > lat) != (F.col("b_lat") > lat)
+    at = (F.col("b_lng") - F.col("a_lng")) * (lat - F.col("a_lat")) / (F.col("b_lat") - F.col("a_lat")) + F.col("a_lng")
+    return F.when(spans & (lng < at), 1).otherwise(0)
+
+
 def closed(ring: Column) -> Column:
     """The ring with its first vertex at the end."""
     return F.when(F.get(ring, F.lit(0)) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
@@ -132,8 +170,3 @@ def point_rings(lng: Column, lat: Column) -> Column:
 def number(text: Column) -> Column:
     """A decimal number as the whole text, else null (no trimming, no suffix)."""
     return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), text.try_cast("double"))
-
-
-def chord(metres: float, radius: float = EARTH_RADIUS) -> float:
-    """Length of the chord under an arc, on the unit sphere."""
-    return 2 * math.sin(min(metres / radius, math.pi) / 2)

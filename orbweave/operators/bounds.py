@@ -63,8 +63,3 @@ def resolve_bbox(sphere: bool = False, text: str | None = None, file_bbox: list[
 
 def boxes_meet(a: Column, b: Column) -> Column:
     return (a["west"] <= b["east"]) & (b["west"] <= a["east"]) & (a["south"] <= b["north"]) & (b["south"] <= a["north"])
-
-
-def extent(rings: Column, bounds) -> list[Column]:
-    box = bounds(rings)
-    return [F.min(box["west"]).alias("west"), F.min(box["south"]).alias("south"), F.max(box["east"]).alias("east"), F.max(box["north"]).alias("north")]

@@ -15,13 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS, bounds, part_m
+from ..functions.geo import EARTH_RADIUS, bounds, closed, crossing, haversine_m, pair_haversine_m, part_m, point_columns, segment_columns, segment_pair_m, segments
 from ..plans import grid
 from .bounds import BBox, boxes_meet
 
 #: Below this many pairs, and this many parts, all pairs are tried.
 ALL_PAIRS = 20_000_000
 BROADCAST_PARTS = 20_000
+#: Pairs that one task tries.
+PAIRS_A_TASK = 500_000
+#: More than BROADCAST_PARTS; millimetres times this fit into 64 bits.
+PART_NUMBERS = 1 << 20
 REJECT = "stage string, index bigint, code string, message string"
 
 
@@ -58,11 +62,49 @@ def admit_points(points: DataFrame, bbox: BBox | None = None) -> NearResult:
     return NearResult(points.where(known & inside), rejects)
 
 
+def spread(points: DataFrame, pairs: int) -> DataFrame:
+    """Query points in enough partitions for so many pairs, however they are stored."""
+    return points.repartition(max(1, min(pairs // PAIRS_A_TASK, 100_000))) if pairs >= 2 * PAIRS_A_TASK else points
+
+
+def numbered(parts: DataFrame) -> DataFrame:
+    """``part``: the place of a part by find_index and part_no (few parts)."""
+    return parts.withColumn("part", F.row_number().over(W.orderBy("find_index", "part_no")).cast("bigint"))
+
+
 def all_pairs(points: DataFrame, parts: DataFrame, points_only: bool, radius: float) -> DataFrame:
-    """Distances of every pair; ``parts`` is of a checked size."""
-    d = part_m(F.col("kind"), F.col("rings"), F.col("lng"), F.col("lat"), radius, points_only)
-    side = F.broadcast(parts.select("find_index", "part_no", "kind", "rings"))
-    return points.select("input_index", "lng", "lat").join(side).select("input_index", "find_index", "part_no", d.alias("d"))
+    """Distances of every pair of a point and a part of ``numbered`` parts; their
+    number is checked.
+
+    Parts are taken apart into segments whose vectors are computed once, and the
+    segments of a part come together again by a hash aggregate.
+    """
+    lng, lat = F.col("lng"), F.col("lat")
+    queries = points.select("input_index", "lng", "lat", *(c.alias(k) for k, c in point_columns(lng, lat).items()))
+    if points_only:
+        first = F.get(F.get("rings", F.lit(0)), F.lit(0))
+        side = parts.select("part", "find_index", "part_no", F.radians(first["lng"]).alias("a_rlng"), F.radians(first["lat"]).alias("a_rlat"), F.cos(F.radians(first["lat"])).alias("a_cos"))
+        return queries.join(F.broadcast(side)).select("input_index", "part", "find_index", "part_no", pair_haversine_m("a", radius).alias("d"))
+    rings = parts.select("part", "kind", F.explode("rings").alias("ring"))
+    lines = rings.select("part", "kind", F.explode(segments(F.when(F.col("kind") == "Polygon", closed(F.col("ring"))).otherwise(F.col("ring")))).alias("s"))
+    side = lines.select("part", (F.col("kind") == "Polygon").alias("area"), *(c.alias(k) for k, c in segment_columns(F.col("s.a"), F.col("s.b")).items()))
+    met = queries.join(F.broadcast(side)).select("input_index", "part", segment_pair_m(radius).alias("d"), F.when(F.col("area"), crossing(lng, lat)).otherwise(0).alias("crossed"))
+    whole = met.groupBy("input_index", "part").agg(F.min("d").alias("d"), F.sum("crossed").alias("crossed"))
+    named = whole.join(F.broadcast(parts.select("part", "find_index", "part_no")), "part")
+    return named.select("input_index", "part", "find_index", "part_no", F.when(F.col("crossed") % 2 == 1, 0.0).otherwise(F.col("d")).alias("d"))
+
+
+def nearest_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Of all pairs with ``part`` numbers the nearest of each query, by one hash
+    aggregate over whole numbers: millimetres first, then the part's place."""
+    best = pairs.groupBy("input_index").agg(F.min(millimetres() * F.lit(PART_NUMBERS) + F.col("part")).alias("best"))
+    cut = best.select("input_index", F.call_function("div", F.col("best"), F.lit(PART_NUMBERS)).alias("mm"), (F.col("best") % PART_NUMBERS).alias("part"))
+    return cut.withColumn("d", F.col("mm") / 1000).join(F.broadcast(parts.select("part", "find_index", "part_no")), "part").select("input_index", "find_index", "part_no", "d")
+
+
+def millimetres() -> Column:
+    """Distances as ranks compare them."""
+    return F.floor(F.col("d") * 1000 + 0.5)
 
 
 def grid_pairs(points: DataFrame, parts: DataFrame, k: int | None, r: float | None, points_only: bool, radius: float, features: bool = False) -> DataFrame:
@@ -77,8 +119,9 @@ def grid_pairs(points: DataFrame, parts: DataFrame, k: int | None, r: float | No
         if r is not None:
             reach = reach.withColumn("reach", F.least("reach", F.lit(float(r))))
     pairs = grid.candidates(reach, parts, points_only, radius)
-    if not points_only:
-        pairs = pairs.unionByName(grid.polygon_candidates(queries, parts)).distinct()
+    if points_only:
+        return pairs.select("input_index", "find_index", "part_no", haversine_m("lng", "lat", "vlng", "vlat", radius).alias("d"))
+    pairs = pairs.unionByName(grid.polygon_candidates(queries, parts)).distinct()
     met = pairs.join(queries, "input_index").join(parts.select("find_index", "part_no", "kind", "rings"), ["find_index", "part_no"])
     d = part_m(F.col("kind"), F.col("rings"), F.col("lng"), F.col("lat"), radius, points_only)
     return met.select("input_index", "find_index", "part_no", d.alias("d"))
@@ -89,11 +132,17 @@ def distances(points: DataFrame, parts: DataFrame, k: int | None, r: float | Non
         raise ValueError("k or a radius is needed")
     if points_only is None:
         points_only = parts.where("kind <> 'Point'").isEmpty()
+    n, m = (parts.count(), points.count()) if strategy != "grid" else (0, 0)
     if strategy == "auto":
-        n = parts.count()
-        strategy = "pairs" if n <= BROADCAST_PARTS and n * points.count() <= ALL_PAIRS else "grid"
+        strategy = "pairs" if n <= BROADCAST_PARTS and n * m <= ALL_PAIRS else "grid"
     if strategy == "pairs":
-        out = all_pairs(points, parts, points_only, radius)
+        if n >= PART_NUMBERS:
+            raise ValueError(f"{n} parts are too many for all pairs")
+        parts = numbered(parts)
+        out = all_pairs(spread(points, n * m), parts, points_only, radius)
+        if k == 1 and not features:
+            out = nearest_pairs(out.where(F.col("d") <= r) if r is not None else out, parts)
+            return out
     elif strategy == "grid":
         out = grid_pairs(points, parts, k, r, points_only, radius, features)
     else:
@@ -104,13 +153,15 @@ def distances(points: DataFrame, parts: DataFrame, k: int | None, r: float | Non
 def rank(pairs: DataFrame, k: int | None, dedupe_features: bool = False) -> DataFrame:
     """The k first of each query; of a feature with several parts optionally
     only the nearest part."""
-    pairs = pairs.withColumn("distance", F.round("d", 3))
-    order = ["distance", "find_index", "part_no"]
+    order = ["mm", "find_index", "part_no"]
+    pairs = pairs.select("input_index", "find_index", "part_no", "d", millimetres().alias("mm"))
     if dedupe_features:
         pairs = pairs.withColumn("f", F.row_number().over(W.partitionBy("input_index", "find_index").orderBy(*order))).where("f = 1").drop("f")
     if k is None:
-        return pairs.withColumn("rank", F.lit(None).cast("int"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("input_index").orderBy(*order))).where(F.col("rank") <= k)
+        ranked = pairs.withColumn("rank", F.lit(None).cast("int"))
+    else:
+        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("input_index").orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.withColumn("distance", F.round("d", 3)).drop("mm")
 
 
 def near_join(

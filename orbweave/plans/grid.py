@@ -59,7 +59,8 @@ def upper_bounds(queries: DataFrame, parts: DataFrame, k: int, radius: float = E
 
 def candidates(queries: DataFrame, parts: DataFrame, points_only: bool, radius: float = EARTH_RADIUS) -> DataFrame:
     """(input_index, find_index, part_no) of all pairs within each query's
-    ``reach`` metres, and some more.  Each pair comes once."""
+    ``reach`` metres, and some more.  Each pair comes once; pairs of points bring
+    their places (lng, lat, vlng, vlat) through the join."""
     slack = 1.0 if points_only else 2.0  # the samples of longer parts are up to one edge apart
     theta = F.least(F.col("reach") / radius, F.lit(3.1416))
     need = F.lit(2 * slack * (1 + 1e-9)) * F.sin(theta / 2) + 1e-12
@@ -70,20 +71,20 @@ def candidates(queries: DataFrame, parts: DataFrame, points_only: bool, radius:
     own = _cell(unit_vector(F.col("lng"), F.col("lat")), F.col("level"))
     shifts = F.sequence(F.lit(-1), F.lit(1))
     around = F.flatten(F.flatten(F.transform(shifts, lambda a: F.transform(shifts, lambda b: F.transform(shifts, lambda c: F.struct((F.col("own.i") + a).alias("i"), (F.col("own.j") + b).alias("j"), (F.col("own.k") + c).alias("k")))))))
-    asks = placed.withColumn("own", own).select("input_index", "level", F.explode(F.when(F.col("level") == ALL, F.array("own")).otherwise(around)).alias("cell"))
+    asks = placed.withColumn("own", own).select("input_index", "level", *(["lng", "lat"] if points_only else []), F.explode(F.when(F.col("level") == ALL, F.array("own")).otherwise(around)).alias("cell"))
     rows = None
     for n in sorted(used):
         if points_only:
             vertex = F.get(F.get("rings", F.lit(0)), F.lit(0))
-            cells = parts.select("find_index", "part_no", _cell(unit_vector(vertex["lng"], vertex["lat"]), n).alias("cell"))
+            cells = parts.select("find_index", "part_no", vertex["lng"].alias("vlng"), vertex["lat"].alias("vlat"), _cell(unit_vector(vertex["lng"], vertex["lat"]), n).alias("cell"))
         else:
             cells = parts.select("find_index", "part_no", F.explode(samples(F.col("kind"), F.col("rings"), edge(max(n, 0)))).alias("p")).select("find_index", "part_no", _cell([F.col("p.x"), F.col("p.y"), F.col("p.z")], n).alias("cell")).distinct()
         cells = cells.withColumn("level", F.lit(n))
         rows = cells if rows is None else rows.unionByName(cells)
     if rows is None:
-        rows = parts.select("find_index", "part_no", F.lit(ALL).alias("level")).withColumn("cell", _cell([F.lit(0.0)] * 3, ALL)).where("false")
-    pairs = asks.join(rows, ["level", "cell"]).select("input_index", "find_index", "part_no")
-    return pairs if points_only else pairs.distinct()
+        rows = parts.select("find_index", "part_no", *([F.lit(0.0).alias("vlng"), F.lit(0.0).alias("vlat")] if points_only else []), F.lit(ALL).alias("level")).withColumn("cell", _cell([F.lit(0.0)] * 3, ALL)).where("false")
+    met = asks.join(rows, ["level", "cell"])
+    return met.select("input_index", "find_index", "part_no", "lng", "lat", "vlng", "vlat") if points_only else met.select("input_index", "find_index", "part_no").distinct()
 
 
 def polygon_candidates(queries: DataFrame, parts: DataFrame, degrees: float = 10.0) -> DataFrame:

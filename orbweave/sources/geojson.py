@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.proximity import reject
+from .points import over_files
 
 _POINT, _LINE, _AREA = "array<double>", "array<array<double>>", "array<array<array<double>>>"
 _MULTI = {"MultiPoint": "Point", "MultiLineString": "LineString", "MultiPolygon": "Polygon"}
@@ -32,7 +33,9 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     """
     many = F.from_json(F.get_json_object("top", "$.features"), "array<string>")
     one = F.array(F.when(F.col("type") == "Feature", F.col("top")).otherwise(F.concat(F.lit('{"geometry":'), F.col("top"), F.lit("}"))))
-    rows = documents(spark, path).select(F.posexplode(F.when(F.col("type") == "FeatureCollection", many).otherwise(one)).alias("find_index", "f"))
+    files = documents(spark, path)
+    rows = files.select("path", F.posexplode(F.when(F.col("type") == "FeatureCollection", many).otherwise(one)).alias("find_index", "f"))
+    rows = over_files(rows.withColumn("find_index", F.col("find_index").cast("bigint")), "find_index", len(files.inputFiles()))
     fields = F.from_json("f", "struct<id:string,geometry:string,properties:string>")
     return rows.select(F.col("find_index").cast("bigint").alias("find_index"), fields.alias("x"), "f").select("find_index", F.col("x.id").alias("id"), F.col("x.geometry").alias("geometry"), F.col("x.properties").alias("properties"), F.expr("schema_of_variant(variant_get(try_parse_json(f), '$.id', 'variant'))").alias("id_kind"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import RINGS
 from ..operators.proximity import reject
-from .points import file_bytes
+from .points import file_bytes, over_files
 
 _FOLDERS = {"kml", "Document", "Folder"}
 _SHAPES = {"Point", "LineString", "LinearRing", "Polygon", "MultiGeometry", "Location"}
@@ -106,13 +106,25 @@ def header_rows(content: bytes) -> list[tuple[str, str]]:
     return [] if first is None else [(_local(c), _text(c) or "") for c in first if not len(c)]
 
 
+def _file_items(content: bytes) -> Iterator[dict]:
+    """A file that is no KML is one item with an error."""
+    try:
+        yield from items(content)
+    except (ElementTree.ParseError, zipfile.BadZipFile, StopIteration) as e:
+        yield {"find_index": 0, "type": "", "name": None, "description": None, "attrs": {}, "children": {}, "parts": [], "error": f"CannotReadKml: {e}"}
+
+
 def read_items(spark: SparkSession, path: str) -> DataFrame:
+    columns = ["find_index", "type", "name", "description", "attrs", "children", "parts", "error"]
+
     def run(frames):
         for frame in frames:
-            for content in frame["content"]:
-                yield pd.DataFrame(list(items(bytes(content))), columns=[c.split()[0] for c in ("find_index", "type", "name", "description", "attrs", "children", "parts", "error")])
+            for where, content in zip(frame["path"], frame["content"]):
+                rows = pd.DataFrame(list(_file_items(bytes(content))), columns=columns)
+                yield rows.assign(path=where)[["path", *columns]]
 
-    return file_bytes(spark, path).mapInPandas(run, ITEM)
+    files = file_bytes(spark, path)
+    return over_files(files.mapInPandas(run, f"path string, {ITEM}"), "find_index", len(files.inputFiles())).drop("path")
 
 
 def kml_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """CSV points: query points and indexed points, with rejects.
 
-The file's rows keep their place in the file as an ordinal, rejected rows too.
+Rows keep their place in the input as an ordinal, rejected rows too; of several
+files, one goes on where the one before it by path ends.
 Fields are cut by a reader that, unlike a permissive CSV scan, tells rows with a
 wrong number of fields.
 """
@@ -12,6 +13,7 @@ import io
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import number, point_rings
@@ -32,6 +34,16 @@ def file_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def over_files(rows: DataFrame, ordinal: str, files: int) -> DataFrame:
+    """Ordinals that go on from file to file, in the order of the paths, for rows
+    (path, ordinal, ...) whose ordinals begin anew in each of ``files`` files."""
+    if files < 2:
+        return rows
+    sizes = rows.groupBy("path").agg((F.max(ordinal) + 1).alias("n"))  # as many rows as files
+    before = sizes.select("path", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "path").withColumn(ordinal, F.col(ordinal) + F.col("before")).select(*rows.columns)
+
+
 def check_delimiter(delimiter: str) -> str:
     if len(delimiter.encode()) != 1:
         raise InvalidDelimiter(f"the delimiter must be one byte: {delimiter!r}")
@@ -70,7 +82,8 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
                     part = rows[k : k + 10_000]
                     yield pd.DataFrame({"path": [where] * len(part), "index": [i for i, _ in part], "fields": [f for _, f in part]})
 
-    return file_bytes(spark, path).mapInPandas(cut, "path string, index bigint, fields map<string,string>")
+    files = file_bytes(spark, path)
+    return over_files(files.mapInPandas(cut, "path string, index bigint, fields map<string,string>"), "index", len(files.inputFiles()))
 
 
 def csv_header(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
