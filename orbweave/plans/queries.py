@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from ..operators import metadata
 from ..operators.bounds import BBox, parse_bbox, resolve_bbox
 from ..operators.proximity import admit_parts, admit_points, describe_index, index_size, near_join, retrieve
 from ..operators.workloads import hashed_points, list_runs
-from ..sources.points import parse_points
+from ..sources.load import load_geometries
+from ..sources.points import parse_points, read_query_points
 from ..sources.tables import box_parts, lat_sql, line_parts, lng_sql, point_parts, query_points, read
 
 BOX = "-120,-45,120,45"
@@ -132,6 +136,20 @@ def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit_points(parse_points(raw)).rejects.select("index", "code")
 
 
+def csv_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and parts written as several CSV files each and read again; their
+    ordinals go on from file to file."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="orbweave-")
+    base = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    rows = {"points": query_points(read(spark, sf_dir, "customer"), "c_custkey"), "parts": query_points(read(spark, sf_dir, "supplier"), "s_suppkey")}
+    for name, points in rows.items():
+        files = points.repartitionByRange(3, "input_index").sortWithinPartitions("input_index")
+        files.select("id", F.col("lat_raw").alias("LAT"), F.col("lng_raw").alias("lng")).write.csv(f"{base}/{name}.csv", header=True)
+    index, points = load_geometries(spark, f"{base}/parts.csv"), read_query_points(spark, f"{base}/points.csv")
+    found = near_join(points, index.parts, fields=("id",), id_label="customer").matches
+    return found.select("input_index", "customer", "distance", "find_index", "id")
+
+
 def _events_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("find_index"), F.col("event_type").alias("id"), F.col("props").alias("properties"))
 
@@ -167,7 +185,7 @@ QUERIES = {
     for f in (
         nearest_supplier, knn3_part, knn3_part_grid, nearest_within_r, knn_within_r, radius_join_grid, bbox_both_sides, bbox_swapped_corners, unmatched_rejects,
         point_mode_rejects, multipart_knn, multipart_knn_features, nearest_line, nearest_line_grid, nearest_polygon, polygon_contains, candidates_bbox,
-        meta_fields_projection, id_label_projection, index_summary, parse_rejects, meta_count, meta_header_bbox, meta_fields_types, meta_data_slice, run_list, gen_points,
+        meta_fields_projection, id_label_projection, index_summary, parse_rejects, csv_nearest, meta_count, meta_header_bbox, meta_fields_types, meta_data_slice, run_list, gen_points,
     )
 }
 
@@ -248,6 +266,8 @@ ORACLE = {
     "id_label_projection": f"SELECT i AS input_index, CAST(i AS VARCHAR) AS customer, f AS find_index FROM ({_ranked(_Q, _S)}) r WHERE rank = 1",
     "index_summary": "SELECT 'Point' AS kind, count(*) AS parts FROM supplier UNION ALL SELECT 'LineString', count(*) FROM nation UNION ALL SELECT 'all', (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation)",
     "parse_rejects": "SELECT CAST(c_custkey AS BIGINT) AS index, 'CannotParseRecord' AS code FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0",
+    "csv_nearest": f"""SELECT (SELECT count(*) FROM customer c WHERE c.c_custkey < i) AS input_index, CAST(i AS VARCHAR) AS customer, distance,
+        (SELECT count(*) FROM supplier s WHERE s.s_suppkey < f) AS find_index, CAST(f AS VARCHAR) AS id FROM ({_ranked(_Q, _S)}) r WHERE rank = 1""",
     "meta_count": "SELECT count(*) AS n FROM events",
     "meta_header_bbox": f"SELECT min(lng) AS west, min(lat) AS south, max(lng) AS east, max(lat) AS north FROM {_S} s",
     "meta_fields_types": "SELECT 'id' AS name, 'String' AS type UNION ALL SELECT 'k', 'Number'",

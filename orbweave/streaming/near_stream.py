@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.geo import EARTH_RADIUS, part_m
-from ..operators.proximity import near_join
+from ..operators.proximity import BROADCAST_PARTS, near_join
 from ..sources.points import parse_points
 
 POINTS = "input_index bigint, id string, lng_raw string, lat_raw string"
@@ -33,8 +33,11 @@ def near_stream(stream: DataFrame, parts: DataFrame, output: str, **options) ->
 
 
 def radius_stream(stream: DataFrame, parts: DataFrame, r: float, radius: float = EARTH_RADIUS) -> DataFrame:
-    """Append-only matches within ``r`` metres; for parts of a broadcast size."""
+    """Append-only matches within ``r`` metres; refuses more parts than are
+    broadcast (those go through ``near_stream``)."""
+    if parts.count() > BROADCAST_PARTS:
+        raise ValueError(f"more than {BROADCAST_PARTS} parts")
     points = parse_points(stream).where("lng is not null and lat is not null")
     d = part_m(F.col("kind"), F.col("rings"), F.col("lng"), F.col("lat"), radius)
     side = parts.select("find_index", "part_no", "kind", "rings")
-    return points.join(side).withColumn("d", d).where(F.col("d") <= r).select("input_index", "id", "find_index", "part_no", F.round("d", 3).alias("distance"))
+    return points.join(F.broadcast(side)).withColumn("d", d).where(F.col("d") <= r).select("input_index", "id", "find_index", "part_no", F.round("d", 3).alias("distance"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.operators import metadata, workloads
+from orbweave.operators.proximity import near_join
 from orbweave.sources import kml, sinks
 from orbweave.sources.load import CannotParseFileExtension, UnsupportedFileType, file_bbox, load_geometries
 from orbweave.sources.points import InvalidDelimiter, MissingLatLngField, read_query_points
@@ -191,3 +192,17 @@ def test_command_line(spark, tmp_path, capsys):
     for args in (["load", run], ["list"], ["execute", "r"], ["remove", "r"], ["clean"]):
         cli.main(["bench", *args, *dirs], spark)
     assert "r,0,point,3,0,2" in capsys.readouterr().out
+
+
+def test_ordinals_go_on_over_files_and_dbf_goes_with_its_shp(spark, tmp_path):
+    for k, lng in enumerate((0, 50)):
+        (tmp_path / f"p{k}.csv").write_text(f"id,lng,lat\nq{k},{lng},{lng}\n")
+        (tmp_path / f"g{k}.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [lng + d, lng]}, "properties": {}} for d in (1, 2)]}))
+        (tmp_path / f"k{k}.kml").write_text(f"<kml><Placemark><name>m{k}</name><Point><coordinates>{lng},{lng}</coordinates></Point></Placemark></kml>" if k else "<kml><broken")
+    points = read_query_points(spark, str(tmp_path / "p*.csv"))
+    assert sorted(tuple(r) for r in points.select("input_index", "id").collect()) == [(0, "q0"), (1, "q1")]
+    parts = load_geometries(spark, str(tmp_path / "g*.json")).parts
+    found = near_join(points, parts, k=1).matches.collect()
+    assert sorted((r["input_index"], r["find_index"]) for r in found) == [(0, 0), (1, 2)]
+    kml = load_geometries(spark, str(tmp_path / "k*.kml"))
+    assert [r["find_index"] for r in kml.parts.collect()] == [1] and [r["code"].split(":")[0] for r in kml.rejects.collect()] == ["CannotReadKml"]
