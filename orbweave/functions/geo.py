@@ -132,26 +132,6 @@ def part_m(kind: Column, rings: Column, lng: Column, lat: Column, radius: float
     return F.when(kind == "Point", point).when(kind == "LineString", least(False)).when(inside(lng, lat, rings), F.lit(0.0)).otherwise(least(True))
 
 
-def samples(kind: Column, rings: Column, step: float) -> Column:
-    """Points along all segments, at most ``step`` radians apart."""
-
-    def along(s: Column) -> Column:
-        theta = haversine_m(s["a"]["lng"], s["a"]["lat"], s["b"]["lng"], s["b"]["lat"], 1.0)
-        n = F.greatest(F.ceil(theta / step).cast("int"), F.lit(1))
-        va, vb = unit_vector(s["a"]["lng"], s["a"]["lat"]), unit_vector(s["b"]["lng"], s["b"]["lat"])
-
-        def at(i: Column) -> Column:
-            t = i / n
-            fa = F.when(theta > 1e-12, F.sin((1 - t) * theta) / F.sin(theta)).otherwise(1 - t)
-            fb = F.when(theta > 1e-12, F.sin(t * theta) / F.sin(theta)).otherwise(t)
-            return F.struct(*((fa * x + fb * y).alias(c) for x, y, c in zip(va, vb, "xyz")))
-
-        return F.transform(F.sequence(F.lit(0), n), at)
-
-    whole = lambda r: F.flatten(F.transform(segments(r), along))
-    return F.flatten(F.transform(rings, lambda r: F.when(kind == "Polygon", whole(closed(r))).otherwise(whole(r))))
-
-
 def bounds(rings: Column) -> Column:
     """``struct<west,south,east,north>`` of a part."""
     flat = F.flatten(rings)

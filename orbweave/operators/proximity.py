@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS, bounds, closed, crossing, haversine_m, pair_haversine_m, part_m, point_columns, segment_columns, segment_pair_m, segments
+from ..functions.geo import EARTH_RADIUS, bounds, closed, crossing, haversine_m, pair_haversine_m, point_columns, segment_columns, segment_pair_m, segments
 from ..plans import grid
 from .bounds import BBox, boxes_meet
 
@@ -72,6 +72,27 @@ def numbered(parts: DataFrame) -> DataFrame:
     return parts.withColumn("part", F.row_number().over(W.orderBy("find_index", "part_no")).cast("bigint"))
 
 
+def query_rows(points: DataFrame) -> DataFrame:
+    """Query points with the vectors that pair distances need."""
+    lng, lat = F.col("lng"), F.col("lat")
+    return points.select("input_index", "lng", "lat", *(c.alias(k) for k, c in point_columns(lng, lat).items()))
+
+
+def segment_rows(parts: DataFrame, *keys: str) -> DataFrame:
+    """A row for each segment of the parts, with its vectors computed once."""
+    rings = parts.select(*keys, "kind", F.explode("rings").alias("ring"))
+    lines = rings.select(*keys, "kind", F.explode(segments(F.when(F.col("kind") == "Polygon", closed(F.col("ring"))).otherwise(F.col("ring")))).alias("s"))
+    return lines.select(*keys, (F.col("kind") == "Polygon").alias("area"), *(c.alias(k) for k, c in segment_columns(F.col("s.a"), F.col("s.b")).items()))
+
+
+def nearest_segments(met: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """Distance ``d`` of each query and part from rows of a query and a segment;
+    0 inside a polygon."""
+    near = met.select("input_index", *keys, segment_pair_m(radius).alias("d"), F.when(F.col("area"), crossing(F.col("lng"), F.col("lat"))).otherwise(0).alias("crossed"))
+    whole = near.groupBy("input_index", *keys).agg(F.min("d").alias("d"), F.sum("crossed").alias("crossed"))
+    return whole.select("input_index", *keys, F.when(F.col("crossed") % 2 == 1, 0.0).otherwise(F.col("d")).alias("d"))
+
+
 def all_pairs(points: DataFrame, parts: DataFrame, points_only: bool, radius: float) -> DataFrame:
     """Distances of every pair of a point and a part of ``numbered`` parts; their
     number is checked.
@@ -79,19 +100,15 @@ def all_pairs(points: DataFrame, parts: DataFrame, points_only: bool, radius: fl
     Parts are taken apart into segments whose vectors are computed once, and the
     segments of a part come together again by a hash aggregate.
     """
-    lng, lat = F.col("lng"), F.col("lat")
-    queries = points.select("input_index", "lng", "lat", *(c.alias(k) for k, c in point_columns(lng, lat).items()))
+    queries = query_rows(points)
     if points_only:
         first = F.get(F.get("rings", F.lit(0)), F.lit(0))
         side = parts.select("part", "find_index", "part_no", F.radians(first["lng"]).alias("a_rlng"), F.radians(first["lat"]).alias("a_rlat"), F.cos(F.radians(first["lat"])).alias("a_cos"))
         return queries.join(F.broadcast(side)).select("input_index", "part", "find_index", "part_no", pair_haversine_m("a", radius).alias("d"))
-    rings = parts.select("part", "kind", F.explode("rings").alias("ring"))
-    lines = rings.select("part", "kind", F.explode(segments(F.when(F.col("kind") == "Polygon", closed(F.col("ring"))).otherwise(F.col("ring")))).alias("s"))
-    side = lines.select("part", (F.col("kind") == "Polygon").alias("area"), *(c.alias(k) for k, c in segment_columns(F.col("s.a"), F.col("s.b")).items()))
-    met = queries.join(F.broadcast(side)).select("input_index", "part", segment_pair_m(radius).alias("d"), F.when(F.col("area"), crossing(lng, lat)).otherwise(0).alias("crossed"))
-    whole = met.groupBy("input_index", "part").agg(F.min("d").alias("d"), F.sum("crossed").alias("crossed"))
+    met = queries.join(F.broadcast(segment_rows(parts, "part")))
+    whole = nearest_segments(met, ["part"], radius)
     named = whole.join(F.broadcast(parts.select("part", "find_index", "part_no")), "part")
-    return named.select("input_index", "part", "find_index", "part_no", F.when(F.col("crossed") % 2 == 1, 0.0).otherwise(F.col("d")).alias("d"))
+    return named.select("input_index", "part", "find_index", "part_no", "d")
 
 
 def nearest_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -122,9 +139,8 @@ def grid_pairs(points: DataFrame, parts: DataFrame, k: int | None, r: float | No
     if points_only:
         return pairs.select("input_index", "find_index", "part_no", haversine_m("lng", "lat", "vlng", "vlat", radius).alias("d"))
     pairs = pairs.unionByName(grid.polygon_candidates(queries, parts)).distinct()
-    met = pairs.join(queries, "input_index").join(parts.select("find_index", "part_no", "kind", "rings"), ["find_index", "part_no"])
-    d = part_m(F.col("kind"), F.col("rings"), F.col("lng"), F.col("lat"), radius, points_only)
-    return met.select("input_index", "find_index", "part_no", d.alias("d"))
+    met = pairs.join(query_rows(queries), "input_index").join(segment_rows(parts, "find_index", "part_no"), ["find_index", "part_no"])
+    return nearest_segments(met, ["find_index", "part_no"], radius)
 
 
 def distances(points: DataFrame, parts: DataFrame, k: int | None, r: float | None, points_only: bool | None, strategy: str, radius: float, features: bool = False) -> DataFrame:

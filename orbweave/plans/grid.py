@@ -15,17 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS, haversine_m, samples, unit_vector
+from ..functions.geo import EARTH_RADIUS, closed, haversine_m, segments, unit_vector
 
 LEVELS = 13
 #: The level that has one cell for everything.
 ALL = -1
 
 
-def edge(level: int) -> float:
-    return 2.0 / 2**level
-
-
 def _cell(xyz: list[Column], level: Column | int) -> Column:
     """``struct<i,j,k>`` of a position; level ALL has one cell."""
     level = F.lit(level) if isinstance(level, int) else level
@@ -57,6 +53,22 @@ def upper_bounds(queries: DataFrame, parts: DataFrame, k: int, radius: float = E
     return queries.select("input_index").join(met.select("input_index", reach.alias("reach")), "input_index", "left").select("input_index", F.coalesce("reach", F.lit(3.1416 * radius)).alias("reach"))
 
 
+def sample_rows(parts: DataFrame, levels: Column) -> DataFrame:
+    """(find_index, part_no, level, x, y, z): points along all segments, at each
+    of the ``levels`` at most one edge apart."""
+    key = ["find_index", "part_no"]
+    rings = parts.select(*key, "kind", F.explode("rings").alias("ring"))
+    lines = rings.select(*key, F.explode(segments(F.when(F.col("kind") == "Polygon", closed(F.col("ring"))).otherwise(F.col("ring")))).alias("s"))
+    ends = [c.alias(f"{end}{n}") for end in "ab" for c, n in zip(unit_vector(F.col(f"s.{end}.lng"), F.col(f"s.{end}.lat")), "xyz")]
+    theta = haversine_m(F.col("s.a.lng"), F.col("s.a.lat"), F.col("s.b.lng"), F.col("s.b.lat"), 1.0).alias("theta")
+    step = F.lit(2.0) / F.pow(F.lit(2.0), F.greatest(F.col("level"), F.lit(0)))
+    dealt = lines.select(*key, theta, *ends).select("*", levels).withColumn("n", F.greatest(F.ceil(F.col("theta") / step).cast("int"), F.lit(1)))
+    along = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")).withColumn("t", F.col("i") / F.col("n"))
+    share = lambda t: F.when(F.col("theta") > 1e-12, F.sin(t * F.col("theta")) / F.sin("theta")).otherwise(t)
+    parted = along.select(*key, "level", *(f"{end}{n}" for end in "ab" for n in "xyz"), share(1 - F.col("t")).alias("fa"), share(F.col("t")).alias("fb"))
+    return parted.select(*key, "level", *((F.col("fa") * F.col(f"a{n}") + F.col("fb") * F.col(f"b{n}")).alias(n) for n in "xyz"))
+
+
 def candidates(queries: DataFrame, parts: DataFrame, points_only: bool, radius: float = EARTH_RADIUS) -> DataFrame:
     """(input_index, find_index, part_no) of all pairs within each query's
     ``reach`` metres, and some more.  Each pair comes once; pairs of points bring
@@ -72,17 +84,13 @@ def candidates(queries: DataFrame, parts: DataFrame, points_only: bool, radius:
     shifts = F.sequence(F.lit(-1), F.lit(1))
     around = F.flatten(F.flatten(F.transform(shifts, lambda a: F.transform(shifts, lambda b: F.transform(shifts, lambda c: F.struct((F.col("own.i") + a).alias("i"), (F.col("own.j") + b).alias("j"), (F.col("own.k") + c).alias("k")))))))
     asks = placed.withColumn("own", own).select("input_index", "level", *(["lng", "lat"] if points_only else []), F.explode(F.when(F.col("level") == ALL, F.array("own")).otherwise(around)).alias("cell"))
-    rows = None
-    for n in sorted(used):
-        if points_only:
-            vertex = F.get(F.get("rings", F.lit(0)), F.lit(0))
-            cells = parts.select("find_index", "part_no", vertex["lng"].alias("vlng"), vertex["lat"].alias("vlat"), _cell(unit_vector(vertex["lng"], vertex["lat"]), n).alias("cell"))
-        else:
-            cells = parts.select("find_index", "part_no", F.explode(samples(F.col("kind"), F.col("rings"), edge(max(n, 0)))).alias("p")).select("find_index", "part_no", _cell([F.col("p.x"), F.col("p.y"), F.col("p.z")], n).alias("cell")).distinct()
-        cells = cells.withColumn("level", F.lit(n))
-        rows = cells if rows is None else rows.unionByName(cells)
-    if rows is None:
-        rows = parts.select("find_index", "part_no", *([F.lit(0.0).alias("vlng"), F.lit(0.0).alias("vlat")] if points_only else []), F.lit(ALL).alias("level")).withColumn("cell", _cell([F.lit(0.0)] * 3, ALL)).where("false")
+    levels = F.explode(F.lit(sorted(used)).cast("array<int>")).alias("level")
+    if points_only:
+        vertex = F.get(F.get("rings", F.lit(0)), F.lit(0))
+        heads = parts.select("find_index", "part_no", vertex["lng"].alias("vlng"), vertex["lat"].alias("vlat"), levels)
+        rows = heads.withColumn("cell", _cell(unit_vector(F.col("vlng"), F.col("vlat")), F.col("level")))
+    else:
+        rows = sample_rows(parts, levels).select("find_index", "part_no", "level", _cell([F.col("x"), F.col("y"), F.col("z")], F.col("level")).alias("cell")).distinct()
     met = asks.join(rows, ["level", "cell"])
     return met.select("input_index", "find_index", "part_no", "lng", "lat", "vlng", "vlat") if points_only else met.select("input_index", "find_index", "part_no").distinct()
 
