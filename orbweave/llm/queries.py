@@ -71,6 +71,9 @@ QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_ngram_j
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Phrases and notices as rows (template, label, text, base).
+_TEMPLATES = [(t, *row) for t, row in enumerate([(v, k, True) for k, v in license_scan.PHRASES.items()] + [(*n, False) for n in license_scan.NOTICES])]
+
 ORACLE = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
@@ -86,6 +89,29 @@ ORACLE = {
         r(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.v FROM r JOIN e ON r.other = e.u),
         c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id""",
+    "op4_license_scan": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+        t(template, label, txt, base) AS (VALUES {", ".join(f"({t}, '{label}', '{text}', {base})" for t, label, text, base in _TEMPLATES)}),
+        g AS (SELECT template, label, base, len(w) AS size, i AS tpos, w[i + 1] AS one, w[i + 2] AS two FROM (SELECT *, string_split(txt, ' ') AS w, unnest(range(0, len(string_split(txt, ' ')) - 1)) AS i FROM t)),
+        p AS (SELECT k, pos, w[pos + 1] AS one, w[pos + 2] AS two FROM (SELECT k, w, unnest(range(0, greatest(len(w) - 1, 0))) AS pos FROM d)),
+        v AS (SELECT k, template, label, base, size, pos, tpos, pos - tpos AS diagonal FROM p JOIN g USING (one, two)),
+        dg AS (SELECT k, template, base, diagonal, min(pos) AS lo, max(pos) AS hi FROM v GROUP BY ALL),
+        nw AS (SELECT *, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER o <= {license_scan.GAP} AND lo - lag(hi) OVER o <= {license_scan.GAP} + 1 THEN 0 ELSE 1 END AS fresh
+               FROM dg WINDOW o AS (PARTITION BY k, template ORDER BY diagonal)),
+        bd AS (SELECT *, sum(fresh) OVER (PARTITION BY k, template ORDER BY diagonal) AS band FROM nw),
+        u AS (SELECT v.*, bd.band FROM v JOIN bd USING (k, template, diagonal)),
+        c(k, template, band, pos, tpos, n) AS (
+            SELECT k, template, band, pos, tpos, 1 FROM u
+            UNION SELECT u.k, u.template, u.band, u.pos, u.tpos, c.n + 1 FROM c JOIN u ON u.k = c.k AND u.template = c.template AND u.band = c.band AND u.pos > c.pos AND u.tpos > c.tpos),
+        lg AS (SELECT k, template, band, max(n) AS n FROM c GROUP BY ALL),
+        sp AS (SELECT u.k, u.label, u.base, min(u.pos) AS start, any_value(lg.n) / (u.size - 1) AS cover
+               FROM u JOIN lg USING (k, template, band) GROUP BY u.k, u.template, u.band, u.label, u.base, u.size),
+        ok AS (SELECT * FROM sp WHERE cover >= CASE WHEN base THEN 1 ELSE {license_scan.COVER} END),
+        r AS (SELECT k, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+              FROM ok GROUP BY k)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+        FROM d LEFT JOIN r USING (k)""",
     "op6_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) AS i FROM d),
