@@ -19,7 +19,7 @@ _NAVS = [
     '[-nav class="breadcrumb"|{l} {l} {w}]',
 ]
 _HEADERS = ['[-header|[-div class="logo"|{w}][-p|{w}]]', '[-header class="site-header"|[-h1|{l}]{nav}]', '[-div id="header"|[-h2|{l}][-p class="tagline"|{w}]]', ""]
-_ADS = ['[-div class="ad"|{t}]', '[-div class="advert banner"|[-p|{t}]{l}]', '[-aside class="promo sponsored"|{t}]', '[-div id="ads"|{l}]', ""]
+_ADS = ['[-div class="ad"|{t}]', '[-div class="advert"|[-p|{t}]]', '[-div class="advert banner"|[-p|{t}]{l}]', '[-aside class="promo sponsored"|{t}]', '[-div id="ads"|{l}]', ""]
 _NOTICES = ['[-div class="cookie-notice"|[-p|{t}][-button|{w}]]', '[-div class="notice alert"|{t}]', '[-div id="consent" role="dialog"|{t} {l}]', ""]
 _SIDES = ['[-aside|[-h3|{w}][-ul|[-li|{l}][-li|{l}]]]', '[-div class="sidebar"|[-h3|{w}][-p|{t}][-ul|[-li|{l}]]]', '[-div id="sidebar" class="widget"|{t} {l}]', '[-div class="related"|[-h4|{w}][-ul|[-li|{l}][-li|{l}][-li|{l}]]]', ""]
 _FORMS = ['[-form|[-label|{w}][-p|{w}]]', '[-form class="newsletter subscribe"|[-p|{t}]]', '[-form class="search"|[-div|{w}]]', ""]
@@ -31,9 +31,9 @@ _SHARES = ['[-div class="share social"|{l} {l}]', '[-ul class="tags meta"|[-li|{
 _FOOTERS = ["[-footer|{w} {t}]", '[-footer class="site-footer"|[-p|{w}]{l} {l}]', '[-div id="footer"|[-p class="copyright legal"|{w} {t}]]', ""]
 _MAINS = [
     "[+article|[+h1|{t}]{p}{share}]", "[+main|[+article|[+h1|{t}]{p}]{comments}]", "[+article|[+header|[+h1|{t}]]{p}{ad}{p}]", "[+article class=\"post\"|[+h2|{t}]{p}{comments}]",
-    '[+div class="content"|[+h1|{t}]{p}]', '[+div id="main"|[+div class="entry-content"|{p}{ad}{p}]{share}]', '[+div class="story-body text"|[+h2|{t}]{p}{form}]', "[+main|{p}]", "[+section|[+h2|{t}]{p}]", "[+div|[+h1|{t}]{p}]",
+    '[+div class="content"|[+h1|{t}]{p}]', '[+div id="main"|[+div class="entry-content"|{p}{ad}{p}]{share}]', '[+div class="story-body text"|[+h2|{t}]{p}{form}]', "[+main|{p}]", '[+div id="content"|[+div class="post-body"|[+h2|{w}]{p}]{comments}]', "[+section|[+h2|{t}]{p}]", "[+div|[+h1|{t}]{p}]",
 ]
-_RUNS = ["[+p|{t} {t} {t}][+p|{t} {t}]", "[+p|{t}][+p|{t} {t} {l} {t}][+ul|[+li|{t}][+li|{t}]]", "[+p|{w}][+blockquote|[+p|{t}]][+p|{t} {t} {t} {t}]", "[+h2|{w}][+p|{t} {t}][+pre|{t}]", "[+p|{t} {t}][+figure|[+figcaption|{t}]][+table|[+tr|[+td|{w}][+td|{t}]]]", "[+p|{w}.][+p|{t}]", "[+p|{t}][+dl|[+dt|{w}][+dd|{t}]][+div|{t} {t}]"]
+_RUNS = ["[+p|{t} {t} {t}][+p|{t} {t}]", "[+p|{t}][+p|{t} {t} {l} {t}][+ul|[+li|{t}][+li|{t}]]", "[+p|{w}][+blockquote|[+p|{t}]][+p|{t} {t} {t} {t}]", "[+h2|{w}][+p|{t} {t}][+pre|{t}]", "[+p|{t} {t}][+figure|[+figcaption|{t}]][+table|[+tr|[+td|{w}][+td|{t}]]]", "[+p|{w}.][+p|{t}]", "[+p|{t} {t}][+ul|[+li|{w}][+li|{w}]][+p|{t}]", "[+p|{t}][+dl|[+dt|{w}][+dd|{t}]][+div|{t} {t}]"]
 _PARTS = {"nav": _NAVS, "ad": _ADS, "form": _FORMS, "comments": _COMMENTS, "share": _SHARES}
 _WHOLE = "{header}{nav}{notice}{ad}{outer}{side}{comments}{form}{footer}"
 
