@@ -95,6 +95,12 @@ def json_data(rows: DataFrame, names: list[str], start: int = 0, length: int | N
     return cut.select("index", F.coalesce("id", F.lit("")).alias("id"), *(F.coalesce(F.try_element_at("text", F.lit(n)), F.lit("")).alias(n) for n in names))
 
 
+def shape_data(rows: DataFrame, names: list[str], start: int = 0, length: int | None = None, rebase: bool = False) -> DataFrame:
+    """index and the named fields of (find_index, props) records as text."""
+    cut = slice_rows(rows, start, length, rebase)
+    return cut.select("index", *(F.coalesce(F.try_element_at("props", F.lit(n)), F.lit("")).alias(n) for n in names))
+
+
 def fields(spark: SparkSession, path: str, start: int = 0, length: int | None = None) -> DataFrame:
     """(name, type) of the file's metadata, id first and then by name."""
     kind = _kind(path)
@@ -117,8 +123,7 @@ def data(spark: SparkSession, path: str, start: int = 0, length: int | None = No
     kind = _kind(path)
     if kind == "shp":
         names = [n for n, _, _ in shapefile.dbf_fields(bytes(points.file_bytes(spark, f"{_stem(path)}.dbf").first()["content"]))]
-        rows = slice_rows(shapefile.read_shapes(spark, path), start, length, rebase)
-        out = rows.select("index", *(F.coalesce(F.try_element_at("props", F.lit(n)), F.lit("")).alias(n) for n in names))
+        out = shape_data(shapefile.read_shapes(spark, path), names, start, length, rebase)
     elif kind == "kml":
         names = [r["name"] for r in fields(spark, path, start, length).collect()][2:]
         rows = slice_rows(kml.read_items(spark, path), start, length, rebase)

@@ -12,7 +12,7 @@ from ..functions.geo import haversine_sql
 from ..operators import metadata
 from ..operators.bounds import BBox, parse_bbox, resolve_bbox
 from ..operators.proximity import admit_parts, admit_points, describe_index, index_size, near_join, retrieve
-from ..operators.workloads import hashed_points, list_runs
+from ..operators.workloads import hashed_points
 from ..sources.load import load_geometries
 from ..sources.points import parse_points, read_query_points
 from ..sources.tables import box_parts, lat_sql, line_parts, lng_sql, point_parts, query_points, read
@@ -154,28 +154,15 @@ def _events_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("find_index"), F.col("event_type").alias("id"), F.col("props").alias("properties"))
 
 
-def meta_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events_props(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-
-
-def meta_header_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+def meta_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.extent_of(_suppliers(spark, sf_dir))
 
 
-def meta_fields_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.json_fields(_events_props(spark, sf_dir))
-
-
 def meta_data_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metadata.json_data(_events_props(spark, sf_dir), ["k"], start=10, length=50)
     return rows.select(F.col("index"), "id", "k")
 
 
-def run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run sets made of the region table: one run for each region."""
-    return list_runs(read(spark, sf_dir, "region").select(F.lit("regions").alias("file"), F.array(F.struct(F.lit("point").alias("shape"), F.col("r_regionkey").cast("bigint").alias("count"), F.lit(0).cast("bigint").alias("meta"), F.lit(10).cast("bigint").alias("cmp"), F.col("r_name").alias("desc"))).alias("runs")))
-
-
 def gen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed_points(spark, 10_000)
 
@@ -185,7 +172,7 @@ QUERIES = {
     for f in (
         nearest_supplier, knn3_part, knn3_part_grid, nearest_within_r, knn_within_r, radius_join_grid, bbox_both_sides, bbox_swapped_corners, unmatched_rejects,
         point_mode_rejects, multipart_knn, multipart_knn_features, nearest_line, nearest_line_grid, nearest_polygon, polygon_contains, candidates_bbox,
-        meta_fields_projection, id_label_projection, index_summary, parse_rejects, csv_nearest, meta_count, meta_header_bbox, meta_fields_types, meta_data_slice, run_list, gen_points,
+        meta_fields_projection, id_label_projection, index_summary, parse_rejects, csv_nearest, meta_extent, meta_data_slice, gen_points,
     )
 }
 
@@ -268,10 +255,7 @@ ORACLE = {
     "parse_rejects": "SELECT CAST(c_custkey AS BIGINT) AS index, 'CannotParseRecord' AS code FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0",
     "csv_nearest": f"""SELECT (SELECT count(*) FROM customer c WHERE c.c_custkey < i) AS input_index, CAST(i AS VARCHAR) AS customer, distance,
         (SELECT count(*) FROM supplier s WHERE s.s_suppkey < f) AS find_index, CAST(f AS VARCHAR) AS id FROM ({_ranked(_Q, _S)}) r WHERE rank = 1""",
-    "meta_count": "SELECT count(*) AS n FROM events",
-    "meta_header_bbox": f"SELECT min(lng) AS west, min(lat) AS south, max(lng) AS east, max(lat) AS north FROM {_S} s",
-    "meta_fields_types": "SELECT 'id' AS name, 'String' AS type UNION ALL SELECT 'k', 'Number'",
+    "meta_extent": f"SELECT min(lng) AS west, min(lat) AS south, max(lng) AS east, max(lat) AS north FROM {_S} s",
     "meta_data_slice": "SELECT event_id AS index, event_type AS id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id IN (SELECT event_id FROM events ORDER BY event_id LIMIT 50 OFFSET 10)",
-    "run_list": "SELECT 'regions' AS file, CAST(0 AS BIGINT) AS index, 'point' AS shape, CAST(r_regionkey AS BIGINT) AS count, CAST(0 AS BIGINT) AS meta, CAST(10 AS BIGINT) AS cmp FROM region",
     "gen_points": "SELECT i AS id, (i * 48271 % 3600001) / 10000.0 - 180 AS lng, (i * 69621 % 1800001) / 10000.0 - 90 AS lat FROM range(0, 10000) t(i)",
 }
