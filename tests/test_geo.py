@@ -1,13 +1,17 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions.geo import EARTH_RADIUS, haversine_m, inside, number, part_m, point_rings
 from orbweave.operators import bounds as B
+from orbweave.operators import proximity
 from orbweave.operators.proximity import NearResult, admit_parts, describe_index, near_join, retrieve
+from orbweave.plans import grid
 from orbweave.sources.points import parse_points
+from orbweave.sources.tables import point_parts, query_points
 
 PART = "find_index bigint, part_no int, kind string, rings array<array<struct<lng:double,lat:double>>>, id string, props map<string,string>, src string"
 DEGREE = math.pi * EARTH_RADIUS / 180
@@ -130,3 +134,47 @@ def test_describe_and_retrieve(spark):
     data = parts(spark, [("Point", [[(1.0, 1.0)]], None), ("Polygon", [[(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (0.0, 0.0)]], None), ("Point", [[(99.0, 1.0)]], None)])
     assert {r["kind"]: r["parts"] for r in describe_index(data).collect()} == {"Point": 2, "Polygon": 1}
     assert {(r["probe_index"], r["find_index"]) for r in retrieve(data, data.where("find_index = 1")).collect()} == {(1, 0), (1, 1)}
+
+
+def joins(frame):
+    """(kind, first key) of the joins of a plan."""
+    return set(re.findall(r"(BroadcastHash|SortMerge|BroadcastNestedLoop)Join (?:\[(\w+)#)?", frame._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """Query points and parts of stored tables, whose sizes Spark estimates."""
+    spark.range(900).write.parquet(f"{tmp_path}/points")
+    spark.range(700).write.parquet(f"{tmp_path}/parts")
+    return query_points(spark.read.parquet(f"{tmp_path}/points"), "id"), point_parts(spark.read.parquet(f"{tmp_path}/parts"), "id", {"key": "id"})
+
+
+def test_grid_broadcasts_no_table(stored):
+    found = near_join(*stored, k=2, mode="point", strategy="grid", fields=("key",))
+    assert {key for kind, key in joins(found.matches) | joins(found.rejects) if kind != "SortMerge"} == {"cell"}  # those of coarse levels
+
+
+def test_radius_pairs_are_not_joined_again(stored):
+    found = near_join(*stored, k=None, r=900_000.0, mode="point", strategy="grid").matches
+    assert joins(found) == {("SortMerge", "cell")}
+    assert {tuple(r) for r in found.select("input_index", "id", "lng", "find_index").collect()} == {tuple(r) for r in near_join(*stored, k=None, r=900_000.0, mode="point", strategy="pairs").matches.select("input_index", "id", "lng", "find_index").collect()}
+
+
+@pytest.mark.parametrize("k, r", [(2, None), (None, 2_000_000.0)])
+def test_hot_cells_are_dealt(spark, monkeypatch, k, r):
+    monkeypatch.setattr(grid, "HOT", 10)
+    data, asked = parts(spark, [("Point", [[p]], None) for p in cloud(40, 1)]), points(spark, cloud(150, 2, 3.0))
+    found = [sorted(map(tuple, near_join(asked, data, k=k, r=r, strategy=s, mode="point").matches.select("input_index", "distance", "find_index").collect())) for s in ("pairs", "grid")]
+    assert found[0] == found[1] and found[0]
+
+
+def test_few_lines_need_no_grid(spark, monkeypatch):
+    """However many queries there are; dealt by query, their pairs are shuffled once."""
+    monkeypatch.setattr(proximity, "ALL_PAIRS", 1)
+    monkeypatch.setattr(proximity, "PAIRS_A_TASK", 100)
+    data, asked = parts(spark, [("LineString", [[p, (p[0] / 2, p[1] / 2)]], None) for p in cloud(5, 3)]), points(spark, cloud(60, 4))
+    pairs = proximity.distances(asked, proximity.admit_parts(data).matches, 1, None, None, "auto", EARTH_RADIUS)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and not re.search(r"hashpartitioning\(input_index#\d+L?, part#", plan)
+    found = [sorted(map(tuple, near_join(asked, data, strategy=s).matches.select("input_index", "distance", "find_index").collect())) for s in ("auto", "grid")]
+    assert found[0] == found[1] and len(found[0]) == 60
