@@ -18,7 +18,7 @@ from ..sources.load import file_bbox, load_geometries
 from ..sources.points import over_files, read_query_points
 from ..sources.sinks import write_matches
 from ..sources.tables import lat_of, lat_sql, lng_of, lng_sql, read
-from ..sources.writers import shapefiles, write_geojson, write_kml
+from ..sources.writers import shapefiles, write_documents, write_geojson, write_kml
 from .queries import _Q, _S, _customers, _ranked, _suppliers
 
 def key() -> Column:
@@ -204,7 +204,7 @@ def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").groupBy(F.floor(k / 400).alias("file")).agg(F.array_sort(F.collect_list(F.struct(k.alias("at"), line.alias("line")))).alias("rows"))
     path = f"{folder(spark)}/points.csv"
     text = F.concat(F.lit("id;lng;lat\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
-    rows.select("file", text.alias("value")).repartitionByRange(2, "file").sortWithinPartitions("file").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    write_documents(rows.select("file", text.alias("value")), path, 2)
     return admit_points(read_query_points(spark, path, ";")).rejects.select("stage", "index", "code")
 
 

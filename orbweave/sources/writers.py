@@ -20,22 +20,30 @@ def _documents(rows: DataFrame, per_file: int, text: Column) -> DataFrame:
     return ranges.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("texts")).select("file", text.alias("value"))
 
 
-def _write(documents: DataFrame, path: str, files: int = 4) -> str:
-    dealt = documents.repartitionByRange(files, "file").sortWithinPartitions("file")
-    dealt.select("value").write.option("maxRecordsPerFile", 1).text(path)
+#: Spark numbers the files of a task and folder with three digits, so names of more than 1,000 do not sort.
+FILES_A_FOLDER = 500
+
+
+def write_documents(documents: DataFrame, path: str, tasks: int = 4) -> str:
+    """Each ``value`` of (file, value) as a file; paths sort as ``file`` does, which
+    is a whole number from 0 below 10**9 * FILES_A_FOLDER."""
+    # numbers of one width; a folder is written by one task, in order
+    named = documents.withColumn("folder", F.floor(F.col("file") / FILES_A_FOLDER) + 1_000_000_000)
+    dealt = named.repartitionByRange(tasks, "folder").sortWithinPartitions("folder", "file")
+    dealt.select("folder", "value").write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
     return path
 
 
 def write_geojson(features: DataFrame, path: str, per_file: int = 10_000, bbox: list[float] | None = None) -> str:
     """Features (at, text) as collections of at most ``per_file``."""
     head = '{"type":"FeatureCollection",' + (f'"bbox":{list(bbox)},' if bbox else "") + '"features":['
-    return _write(_documents(features, per_file, F.concat(F.lit(head), F.array_join("texts", ","), F.lit("]}"))), path)
+    return write_documents(_documents(features, per_file, F.concat(F.lit(head), F.array_join("texts", ","), F.lit("]}"))), path)
 
 
 def write_kml(items: DataFrame, path: str, per_file: int = 10_000, name: str = "") -> str:
     """Items (at, text), such as Placemarks, in a Document of each file."""
     head = f'<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{name}</name>'
-    return _write(_documents(items, per_file, F.concat(F.lit(head), F.array_join("texts", "\n"), F.lit("</Document></kml>"))), path)
+    return write_documents(_documents(items, per_file, F.concat(F.lit(head), F.array_join("texts", "\n"), F.lit("</Document></kml>"))), path)
 
 
 def shp_bytes(shapes: list[list[tuple[float, float]]]) -> bytes:

@@ -3,7 +3,7 @@ import pytest
 
 from orbweave.plans import file_queries
 from orbweave.sources import shapefile
-from orbweave.sources.writers import dbf_bytes, shp_bytes
+from orbweave.sources.writers import dbf_bytes, shp_bytes, write_documents
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +32,18 @@ def test_shapefile_bytes():
     records = list(shapefile.shp_records(content))
     assert [shapefile.shape_parts(r)[0]["kind"] for r in (records[0], records[2])] == ["Point", "LineString"]
     assert list(shapefile.dbf_records(dbf_bytes([("A", "C", 3), ("B", "N", 4)], [(b"x", b"12"), (b"long", b"")]))) == [{"A": "x", "B": "12"}, {"A": "lon", "B": "NaN"}]
+
+
+def test_documents_sort_by_path(spark, tmp_path):
+    path = write_documents(spark.range(1200).selectExpr("id * 2 AS file", "CAST(id AS STRING) AS value"), f"{tmp_path}/many.txt", 1)
+    rows = spark.read.text(path).select("_metadata.file_path", "value").collect()
+    assert [int(r["value"]) for r in sorted(rows)] == list(range(1200))
+
+
+def test_csv_rejects_of_many_files(spark, tmp_path):
+    """More files a task than three digits number."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT i * 400 + 1 AS c_custkey FROM range(2300) t(i)")
+    con.execute(f"COPY customer TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    want = con.execute(f"SELECT stage, index, code FROM ({file_queries.ORACLE['csv_rejects']}) x").fetchall()
+    assert sorted(map(tuple, file_queries.QUERIES["csv_rejects"](spark, str(tmp_path)).collect())) == sorted(want)
