@@ -17,6 +17,8 @@ from ..sources.load import load_geometries
 from ..sources.points import parse_points, read_query_points
 from ..sources.tables import box_parts, lat_sql, line_parts, lng_sql, point_parts, query_points, read
 
+#: Rows of a CSV file that is written, if these need more than three files: one task reads a file.
+ROWS_A_FILE = 50_000
 BOX = "-120,-45,120,45"
 _OUT = ["input_index", "distance", "find_index", "rank"]
 
@@ -143,7 +145,7 @@ def csv_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
     rows = {"points": query_points(read(spark, sf_dir, "customer"), "c_custkey"), "parts": query_points(read(spark, sf_dir, "supplier"), "s_suppkey")}
     for name, points in rows.items():
-        files = points.repartitionByRange(3, "input_index").sortWithinPartitions("input_index")
+        files = points.repartitionByRange(max(3, points.count() // ROWS_A_FILE), "input_index").sortWithinPartitions("input_index")
         files.select("id", F.col("lat_raw").alias("LAT"), F.col("lng_raw").alias("lng")).write.csv(f"{base}/{name}.csv", header=True)
     index, points = load_geometries(spark, f"{base}/parts.csv"), read_query_points(spark, f"{base}/points.csv")
     found = near_join(points, index.parts, fields=("id",), id_label="customer").matches

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def csv_records(content: bytes, delimiter: str) -> Iterator[tuple[int, dict[str,
 
     Of headers that are equal but for case the last wins; blank lines are none.
     """
-    rows = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""), delimiter=delimiter)
+    rows = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", "replace", newline=""), delimiter=delimiter)
     header: list[str] | None = None
     at = 0
     for row in rows:
@@ -77,9 +78,8 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
 
         for frame in frames:
             for where, content in zip(frame["path"], frame["content"]):
-                rows = list(csv_records(bytes(content), delimiter))
-                for k in range(0, max(len(rows), 1), 10_000):
-                    part = rows[k : k + 10_000]
+                rows = csv_records(bytes(content), delimiter)
+                while part := list(itertools.islice(rows, 10_000)):
                     yield pd.DataFrame({"path": [where] * len(part), "index": [i for i, _ in part], "fields": [f for _, f in part]})
 
     files = file_bytes(spark, path)

@@ -1,8 +1,13 @@
+import glob
+import os
+import tracemalloc
+
 import duckdb
 import pytest
 
-from orbweave.plans import file_queries
+from orbweave.plans import file_queries, queries
 from orbweave.sources import shapefile
+from orbweave.sources.points import csv_records
 from orbweave.sources.writers import dbf_bytes, shp_bytes, write_documents
 
 
@@ -47,3 +52,28 @@ def test_csv_rejects_of_many_files(spark, tmp_path):
     con.execute(f"COPY customer TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
     want = con.execute(f"SELECT stage, index, code FROM ({file_queries.ORACLE['csv_rejects']}) x").fetchall()
     assert sorted(map(tuple, file_queries.QUERIES["csv_rejects"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_csv_records_are_read_in_pieces():
+    content = b"id,lng,lat\n" + b"1,2.5,3.5\n" * 200_000
+    tracemalloc.start()
+    rows = csv_records(content, ",")
+    assert next(rows) == (0, {"id": "1", "lng": "2.5", "lat": "3.5"})
+    assert sum(1 for _ in rows) == 199_999
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * len(content)
+
+
+def test_csv_files_follow_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "ROWS_A_FILE", 100)
+    con = duckdb.connect()
+    for name, key, n in (("customer", "c_custkey", 1500), ("supplier", "s_suppkey", 40)):
+        con.execute(f"CREATE TABLE {name} AS SELECT i * 3 + 1 AS {key} FROM range({n}) t(i)")
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = queries.QUERIES["csv_nearest"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE['csv_nearest']}) x").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    base = got.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    newest = max(glob.glob(f"{base}/csv-*"), key=os.path.getmtime)
+    assert len(glob.glob(f"{newest}/points.csv/*.csv")) == 15 and len(glob.glob(f"{newest}/parts.csv/*.csv")) == 3
