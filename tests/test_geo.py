@@ -160,6 +160,29 @@ def test_radius_pairs_are_not_joined_again(stored):
     assert {tuple(r) for r in found.select("input_index", "id", "lng", "find_index").collect()} == {tuple(r) for r in near_join(*stored, k=None, r=900_000.0, mode="point", strategy="pairs").matches.select("input_index", "id", "lng", "find_index").collect()}
 
 
+@pytest.mark.parametrize("n_points, n_parts, repeated", [(900, 60, "find_index"), (60, 700, "input_index")])
+def test_radius_join_repeats_the_smaller_side(spark, monkeypatch, n_points, n_parts, repeated):
+    """Rows of the larger side are shuffled once each, however many cells are in reach."""
+    monkeypatch.setattr(grid, "PAIRS_A_TASK", 100, raising=False)
+    asked, data = query_points(spark.range(n_points), "id"), point_parts(spark.range(n_parts), "id")
+    found, every = (near_join(asked, data, k=None, r=900_000.0, mode="point", strategy=s).matches.select("input_index", "distance", "find_index") for s in ("grid", "pairs"))
+    sides = found._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(cell#")[1:]
+    assert len(sides) == 2
+    assert ["input_index" if "input_index#" in side else "find_index" for side in sides if "explode([-1,0,1])" in side] == [repeated]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect())) != []
+
+
+@pytest.mark.parametrize("n_points, n_parts", [(150, 40), (40, 150)])
+@pytest.mark.parametrize("r", [-1.0, 0.0, 300_000.0, 2_000_000.0, 12_000_000.0, 21_000_000.0])
+def test_cells_of_a_radius_join_are_dealt(spark, monkeypatch, n_points, n_parts, r):
+    for name, value in (("HOT_PAIRS", 10), ("HOT_SHARE", 0.02), ("PAIRS_A_TASK", 100), ("MOST_TASKS", 6), ("ASKS_A_TASK", 15)):
+        monkeypatch.setattr(grid, name, value)
+    places = cloud(40, 2, 3.0) + [(0.0, 90.0), (77.0, 90.0), (5.0, -90.0), (180.0, 0.0), (-180.0, 0.0), (0.0, 0.0)]
+    asked, data = points(spark, places + cloud(n_points - 46, 1)) if n_points > 46 else points(spark, places[6:]), parts(spark, [("Point", [[p]], None) for p in (places + cloud(n_parts, 3))[:n_parts]])
+    found = [sorted(map(tuple, near_join(asked, data, k=None, r=r, mode="point", strategy=s).matches.select("input_index", "id", "distance", "find_index").collect())) for s in ("pairs", "grid")]
+    assert found[0] == found[1] and bool(found[0]) == (r >= 0)
+
+
 @pytest.mark.parametrize("k, r", [(2, None), (None, 2_000_000.0)])
 def test_hot_cells_are_dealt(spark, monkeypatch, k, r):
     monkeypatch.setattr(grid, "HOT", 10)
