@@ -124,6 +124,15 @@ def test_bbox_rules():
         B.resolve_bbox(True, "0,0,1,1")
 
 
+def test_distances_round_as_decimals(spark):
+    r = random.Random(5)
+    ties = [n / 2000 for n in range(2001)] + [1.0005, 2.5015, 1234567.0005, 20015115.0705, 20015086.7965]
+    near = [math.nextafter(x, way) for x in ties for way in (-1.0, 1e9)]
+    rows = ties + near + [r.uniform(0, 2.1e7) for _ in range(5000)] + [r.uniform(0, 2) for _ in range(5000)] + [0.0, 1e-9, 1e12, 1e300, math.inf, None]
+    frame = spark.createDataFrame([(x,) for x in rows], "d double")
+    assert frame.count() == frame.where(F.round("d", 3).eqNullSafe(proximity.rounded())).count()
+
+
 def test_numbers(spark):
     rows = [("1.5", 1.5), ("-.5e1", -5.0), ("1d", None), (" 1", None), ("", None), ("inf", None), ("1.", 1.0), (None, None), ("1\n", None)]
     frame = spark.createDataFrame([(t,) for t, _ in rows], "t string")
