@@ -192,6 +192,13 @@ def test_cells_of_a_radius_join_are_dealt(spark, monkeypatch, n_points, n_parts,
     assert found[0] == found[1] and bool(found[0]) == (r >= 0)
 
 
+@pytest.mark.parametrize("n, m", [(10**6, 10**6), (135_000, 54_000), (54_000_000, 10), (10, 54_000_000), (1, 1)])
+def test_dealt_rows_are_repeated_rarely(n, m):
+    """Two hundred shares of a cell repeat its rows thirty times at most."""
+    i, j = grid.shares(n, m, n * m / 200)
+    assert 200 <= i * j <= 220 and n * j + m * i <= 15 * (n + m)
+
+
 @pytest.mark.parametrize("k, r", [(2, None), (None, 2_000_000.0)])
 def test_hot_cells_are_dealt(spark, monkeypatch, k, r):
     monkeypatch.setattr(grid, "HOT", 10)
